@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitrank.functions.fixed_values import ENGLISH_STOP_WORDS
@@ -46,13 +46,10 @@ def _salt_count(docs: DataFrame) -> int:
 
     A term found in every document has one of about a hundred pairs of each document, so a
     fraction of the shuffle partitions brings its parts down to the size of an average partition.
+    The parts of a term fit into the bits of one long.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, partitions // 64)
-
-
-def _idf(n_docs: Column, df: Column) -> Column:
-    return F.ln((F.lit(1.0) + n_docs) / (F.lit(1.0) + df)) + F.lit(1.0)
+    return min(63, max(8, partitions // 64))
 
 
 def tfidf_scores(
@@ -69,14 +66,14 @@ def tfidf_scores(
     The pairs of a document and a term are shuffled once by (term, salt) and once, as numbers
     only, by document.  The salt splits the rows of frequent terms.  Document frequencies come
     from the same shuffled pairs: counts per (term, salt), then a sum over the few salts of a
-    term.  The corpus size is the frequency of the empty term, which every document carries once
-    and which also keeps documents without any term.  ``key`` must be unique and not null; the
-    profile is the document with a null key.
+    term, which also notes in a bit set under which salts the term occurs.  The empty term, which every document carries, keeps documents without any other.
+    ``key`` must be unique and not null; the profile is the document with a null key.
     """
     corpus = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).union(
         profile.select(F.lit(None).cast(docs.schema[key].dataType), "text")
     )
-    salt = F.coalesce(F.pmod(F.xxhash64("doc"), F.lit(_salt_count(docs))), F.lit(0)).cast("int")
+    parts = _salt_count(docs)
+    salt = F.coalesce(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"), F.lit(0))
     term = F.col("term")
     pairs = (
         corpus.select("doc", salt.alias("salt"), F.inline(term_counts(F.col("text"))))
@@ -90,42 +87,63 @@ def tfidf_scores(
         F.count("tf").alias("df_part"),
         F.sum(F.when(F.col("doc").isNull(), F.col("tf"))).alias("profile_part"),
     )
-    over_term = Window.partitionBy("term")
-    terms = counts.select(
-        "term",
-        "salt",
-        F.sum("df_part").over(over_term).alias("df"),
-        F.sum("profile_part").over(over_term).alias("profile_tf"),
-        "profile_part",
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("salt"))
+    terms = counts.groupBy("term").agg(
+        F.sum("df_part").alias("df"),
+        F.sum("profile_part").alias("profile_tf"),
+        F.bit_or(bit).alias("salts"),
+    )
+    # One row per salt under which a term occurs, as many as the counts had.
+    salts = F.filter(
+        F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.getbit(F.col("salts"), i) == 1
     )
+    salted_terms = terms.select("term", F.explode(salts).alias("salt"), "df", "profile_tf")
 
-    # N and the profile's squared length as sums that do not need N beforehand:
-    # (L + g)^2 with L = ln(1 + N) and g = 1 - ln(1 + df).
-    in_profile = F.when(F.col("term") != "", F.col("profile_part").cast("double"))
+    # idf = L + g with L = ln(1 + N) and g = 1 - ln(1 + df), so a sum of x * idf^2 is
+    # L^2 * sum(x) + 2 * L * sum(x * g) + sum(x * g^2).  N is thus not needed before the last
+    # step, where it is the number of documents that come out of this very aggregation.
     g = F.lit(1.0) - F.ln(F.lit(1.0) + F.col("df"))
-    stats = terms.agg(
-        F.struct(
-            F.max(F.when(F.col("term") == "", F.col("df"))).alias("n_docs"),
-            F.sum(in_profile * in_profile).alias("s0"),
-            F.sum(in_profile * in_profile * g).alias("s1"),
-            F.sum(in_profile * in_profile * g * g).alias("s2"),
-        ).alias("stats")
-    ).scalar()
-
-    is_term = F.col("term") != ""
-    weight = F.when(is_term, F.col("tf") * _idf(stats["n_docs"], F.col("df")))
-    profile_weight = F.col("profile_tf") * _idf(stats["n_docs"], F.col("df"))
+    tf = F.when(F.col("term") != "", F.col("tf").cast("double")).otherwise(F.lit(0.0))
+    wanted = F.coalesce(F.col("profile_tf"), F.lit(0)).cast("double")
     sums = (
-        pairs.join(terms.drop("profile_part").hint("shuffle_hash"), ["term", "salt"])
-        .select("doc", (weight * weight).alias("w2"), (weight * profile_weight).alias("wp"))
+        pairs.join(salted_terms.hint("shuffle_hash"), ["term", "salt"])
+        .select("doc", (tf * tf).alias("x"), (tf * wanted).alias("y"), g.alias("g"))
         .groupBy("doc")
-        .agg(F.sum("w2").alias("w2"), F.sum("wp").alias("wp"), F.count("doc").alias("n"))
-        .where(F.col("n") > 0)
+        .agg(
+            *[
+                F.sum(F.col(v) * power).alias(f"{v}{i}")
+                for v in ("x", "y")
+                for i, power in enumerate((F.lit(1.0), F.col("g"), F.col("g") * F.col("g")))
+            ],
+            F.count("doc").alias("n"),
+        )
+    )
+
+    def total(v: str, log_n: Column) -> Column:
+        return log_n * log_n * F.col(f"{v}0") + F.lit(2.0) * log_n * F.col(f"{v}1") + F.col(f"{v}2")
+
+    # The profile's own row: there x and y are the same.  Reading both, like the rows below do,
+    # lets Spark reuse the shuffle by document.
+    log_n = F.ln(F.lit(1.0) + F.col("n_docs"))
+    stats = (
+        sums.agg(
+            F.count(F.lit(1)).alias("n_docs"),
+            *[F.max(F.when(F.col("n") == 0, F.col(c))).alias(c) for c in sums.columns[1:-1]],
+        )
+        .select(
+            F.struct(
+                log_n.alias("log_n"),
+                F.sqrt((total("x", log_n) + total("y", log_n)) / 2).alias("profile_length"),
+            )
+        )
+        .scalar()
     )
-    big_l = F.ln(F.lit(1.0) + stats["n_docs"])
-    profile_w2 = big_l * big_l * stats["s0"] + F.lit(2.0) * big_l * stats["s1"] + stats["s2"]
-    score = F.try_divide(F.col("wp"), F.sqrt(F.col("w2")) * F.sqrt(profile_w2))
-    return sums.select(F.col("doc").alias(key), F.coalesce(score, F.lit(0.0)).alias("score"))
+    # As one column the subquery is planned once and not once per use.
+    finished = sums.where(F.col("n") > 0).withColumn("stats", stats)
+    log_n = F.col("stats.log_n")
+    length = F.sqrt(total("x", log_n)) * F.col("stats.profile_length")
+    score = F.try_divide(total("y", log_n), length)
+    return finished.select(F.col("doc").alias(key), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def tfidf_cosine(
