@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitrank.config import Lookback
-from fitrank.functions.text import norm_key
-from fitrank.operators.ranking import dedup_reposts
+from fitrank.operators.ranking import first_per_key, join_texts
 
 
 def with_pass(postings: DataFrame, as_of: Column, lookback: Lookback) -> DataFrame:
@@ -24,18 +23,13 @@ def with_pass(postings: DataFrame, as_of: Column, lookback: Lookback) -> DataFra
     return postings.withColumn("pass_no", pass_no).where(F.col("pass_no") <= last)
 
 
-def chosen_pass(passes: DataFrame, lookback: Lookback) -> DataFrame:
-    """One row ``chosen``: the first pass with enough distinct repost keys, else the last one.
+def chosen_pass(firsts: DataFrame, lookback: Lookback) -> DataFrame:
+    """One row ``chosen``: the first pass with enough distinct postings, else the last one.
 
-    Keys are first reduced to their earliest pass, then to one count per pass.  The running total
-    therefore sees at most as many rows as there are passes, a bound set by the arguments.
+    ``firsts`` holds one row per posting with its earliest pass.  The running total goes over one
+    row per pass, a number set by the arguments and not by the data.
     """
-    per_pass = (
-        passes.groupBy(norm_key(F.col("title")).alias("t"), norm_key(F.col("company")).alias("c"))
-        .agg(F.min("pass_no").alias("pass_no"))
-        .groupBy("pass_no")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    per_pass = firsts.groupBy("pass_no").agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("pass_no"))
     enough = F.when(F.col("total") >= lookback.minimum, F.col("pass_no"))
     last = 0 if lookback.minimum <= 0 else lookback.last_pass
@@ -52,13 +46,18 @@ def within_chosen(
 ) -> DataFrame:
     """Distinct postings up to the chosen pass, of rows that carry ``pass_no``.
 
-    Adds ``hours_old``, the width of the window that was used in the end.
+    The earliest row of a posting does not depend on the pass that is chosen.  So reposts are
+    removed first, once, and the choice and the result are read off that one shuffle.  Adds
+    ``hours_old``, the width of the window that was used in the end.
     """
-    chosen = chosen_pass(passes, lookback).scalar()
-    kept = dedup_reposts(
-        passes.where(F.col("pass_no") <= chosen), ("pass_no", *order_by), text_columns
+    order = ("pass_no", *order_by)
+    firsts = first_per_key(passes, order, text_columns)
+    kept = firsts.withColumn("_chosen", chosen_pass(firsts, lookback).scalar()).where(
+        F.col("pass_no") <= F.col("_chosen")
     )
-    return kept.withColumn("hours_old", F.lit(lookback.start) + chosen * F.lit(lookback.step))
+    hours = F.lit(lookback.start) + F.col("_chosen") * F.lit(lookback.step)
+    kept = kept.withColumn("hours_old", hours).drop("_chosen")
+    return join_texts(kept, passes, order, text_columns)
 
 
 def adaptive_lookback(

@@ -13,30 +13,40 @@ from fitrank.functions.text import contains_any, norm_key
 from fitrank.operators.filters import posted_since, remote_matches
 
 
-def dedup_reposts(
-    postings: DataFrame,
-    order_by: Sequence[str],
-    text_columns: Sequence[str] = ("description",),
+def first_per_key(
+    postings: DataFrame, order_by: Sequence[str], text_columns: Sequence[str] = ("description",)
 ) -> DataFrame:
-    """First posting per normalised (title, company) in the order given.
+    """First row per normalised (title, company), without the long texts.
 
     ``order_by`` must identify a row.  The first row is an aggregate, so each task sends at most
     one row per key into the shuffle and a key that holds most rows costs no more than any other.
-    Long texts stay out of it and are joined back to the surviving rows.
     """
-    texts = [c for c in text_columns if c in postings.columns and c not in order_by]
-    slim = [c for c in postings.columns if c not in texts and c not in order_by]
+    slim = [c for c in postings.columns if c not in text_columns and c not in order_by]
     keys = [norm_key(F.col("title")).alias("_title"), norm_key(F.col("company")).alias("_company")]
-    first = (
-        postings.groupBy(*keys)
-        .agg(F.min(F.struct(*order_by, *slim)).alias("_first"))
-        .select("_first.*")
-    )
-    if texts:
-        first = first.join(postings.select(*order_by, *texts), list(order_by))
-    return first.select(postings.columns)
+    first = postings.groupBy(*keys).agg(F.min(F.struct(*order_by, *slim)).alias("_first"))
+    return first.select("_first.*")
 
 
+def join_texts(
+    rows: DataFrame,
+    postings: DataFrame,
+    order_by: Sequence[str],
+    text_columns: Sequence[str] = ("description",),
+) -> DataFrame:
+    """Add the long texts to surviving rows, by the columns that identify a row."""
+    texts = [c for c in text_columns if c in postings.columns]
+    return rows.join(postings.select(*order_by, *texts), list(order_by)) if texts else rows
+
+
+def dedup_reposts(
+    postings: DataFrame,
+    order_by: Sequence[str],
+    text_columns: Sequence[str] = ("description",),
+) -> DataFrame:
+    """First posting per normalised (title, company) in the order given."""
+    first = first_per_key(postings, order_by, text_columns)
+    return join_texts(first, postings, order_by, text_columns).select(postings.columns)
+
 
 def topn_per_search(
     hits: DataFrame,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fitrank.config import FilterRules, Lookback, Search
 from fitrank.operators.filters import filter_seen, row_predicates
 from fitrank.operators.lookback import chosen_pass, with_pass, within_chosen
-from fitrank.operators.ranking import join_searches, topn_per_search
+from fitrank.operators.ranking import first_per_key, join_searches, topn_per_search
 from fitrank.session import new_scratch
 from fitrank.sources.postings import write_postings
 from fitrank.sources.seen import write_seen
@@ -90,6 +90,7 @@ def run_ingest(
     fresh = fresh_rows(fetched, seen, rules)
     kept = within_chosen(fresh, lookback, ("search_no", "id"))
     manifest = write_postings(with_text(kept, pool), out_path, searches)
-    chosen = chosen_pass(fresh, lookback).scalar()
+    firsts = first_per_key(fresh, ("pass_no", "search_no", "id"))
+    chosen = chosen_pass(firsts, lookback).scalar()
     write_seen(fetched.where(F.col("pass_no") <= chosen), seen, seen_path)
     return manifest
