@@ -143,7 +143,10 @@ def tfidf_scores(
     log_n = F.col("stats.log_n")
     length = F.sqrt(total("x", log_n)) * F.col("stats.profile_length")
     score = F.try_divide(total("y", log_n), length)
-    return finished.select(F.col("doc").alias(key), F.coalesce(score, F.lit(0.0)).alias("score"))
+    # The key is null for the profile only, which is gone.  Said to Spark in this way, a later join
+    # by key does not push a null test into one of the branches and so undo the shared shuffle.
+    doc = F.coalesce(F.col("doc"), F.lit("0").cast(docs.schema[key].dataType))
+    return finished.select(doc.alias(key), F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def tfidf_cosine(
