@@ -112,6 +112,15 @@ def q_semantic(v: Views):
     return six(scored.select("id", "semantic_score"), "semantic_score")
 
 
+def q_frozen(v: Views):
+    """Other texts, scored with the statistics of the postings."""
+    kept = tfidf.document_frequencies(v.postings, v.profile)
+    size = v.postings.agg((F.count(F.lit(1)) + 1).alias("n")).scalar()
+    texts = v.spark.read.parquet(f"{v.sf_dir}/benchmark.parquet")
+    scores = tfidf.tfidf_scores(texts, v.profile, "text", "item_id", frequencies=kept, n_docs=size)
+    return six(scores, "score")
+
+
 def q_embed(v: Views):
     vectors = plugins.embed_postings(v.postings, use_prefix=False)
     return vectors.select(
@@ -194,12 +203,30 @@ FROM postings WHERE description IS NOT NULL""",
         lambda v: six(tfidf.tfidf_scores(v.postings, v.profile), "score"),
         f"{PP}, {TOKENS_SQL}, {WANTED_SQL}, {TFIDF_SQL} SELECT id, round(score, 6) AS score FROM tfidf",
     ),
+    "tfidf_cosine_frozen": (
+        q_frozen,
+        f"""{PP}, {TOKENS_SQL}, {WANTED_SQL}, {TFIDF_SQL},
+other AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text),
+  '{TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT o.item_id, sum(o.tf * i.idf * w.tf * i.idf) / (sqrt(sum((o.tf * i.idf) ** 2))
+    * (SELECT len FROM plen)) AS score
+  FROM other o JOIN idf i USING (term) LEFT JOIN wanted w USING (term) GROUP BY o.item_id)
+SELECT b.item_id, round(coalesce(s.score, 0e0), 6) AS score FROM benchmark b LEFT JOIN scored s USING (item_id)""",
+    ),
     "embedding_cosine": (
         q_semantic,
         f"{P}, {SEMANTIC_SQL} SELECT id, round(score, 6) AS semantic_score FROM semantic",
     ),
     "embed_text": (q_embed, HASHED_SQL),
-    "embed_text_score": (q_embed_score, None),
+    "embed_text_score": (
+        q_embed_score,
+        f"""{HASHED_SQL.split("SELECT p.id, CAST(s.slot")[0].replace(P, PP)},
+wanted AS (SELECT {HASH_SLOT} AS slot, sum({HASH_SIGN}) AS value FROM (SELECT
+  unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM profile) GROUP BY ALL),
+c AS (SELECT h.id, sum(h.value * w.value) / (nullif(sqrt(sum(h.value ** 2)), 0)
+  * (SELECT sqrt(sum(value ** 2)) FROM wanted)) AS score FROM hashed h LEFT JOIN wanted w USING (slot) GROUP BY h.id)
+SELECT p.id, round(coalesce(c.score, 0e0), 6) AS semantic_score FROM postings p LEFT JOIN c USING (id)""",
+    ),
     "pair_score": (
         q_pairs,
         f"""{PP}, words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(left(description, 2000)),

@@ -18,12 +18,23 @@ from fitrank.functions.fixed_values import (
 from fitrank.functions.text import distinct_terms, literal_array
 from fitrank.functions.vectors import cosine
 
+# Longest profile text, in characters, whose terms are sent to every task.
+PROFILE_LIMIT = 4_000_000
+
 
 def profile_terms(
     profile: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS
 ) -> Column:
-    """Set of terms of the one profile text, as a scalar subquery."""
-    terms = distinct_terms(F.coalesce(F.col("text"), F.lit("")), stop_words)
+    """Set of terms of the one profile text, as a scalar subquery.
+
+    The set reaches every task, so the length of the text is checked; more than one profile row is
+    an error of the subquery itself.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    checked = F.when(F.length(text) <= PROFILE_LIMIT, text).otherwise(
+        F.raise_error(F.lit(f"the profile text is longer than {PROFILE_LIMIT} characters"))
+    )
+    terms = distinct_terms(checked, stop_words)
     return profile.select(terms.alias("terms")).scalar()
 
 

@@ -58,6 +58,8 @@ def tfidf_scores(
     text: str = "description",
     key: str = "id",
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    frequencies: DataFrame | None = None,
+    n_docs: Column | None = None,
 ) -> DataFrame:
     """(key, score) for every document; the profile counts as a document of the corpus.
 
@@ -68,6 +70,10 @@ def tfidf_scores(
     from the same shuffled pairs: counts per (term, salt), then a sum over the few salts of a
     term, which also notes in a bit set under which salts the term occurs.  The empty term, which every document carries, keeps documents without any other.
     ``key`` must be unique and not null; the profile is the document with a null key.
+
+    Scores depend on the corpus.  To score new documents like earlier ones, pass the kept table
+    of ``document_frequencies`` and the size ``n_docs`` of its corpus, the profile included;
+    terms that the table does not hold are left out.
     """
     corpus = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).union(
         profile.select(F.lit(None).cast(docs.schema[key].dataType), "text")
@@ -93,6 +99,8 @@ def tfidf_scores(
         F.sum("profile_part").alias("profile_tf"),
         F.bit_or(bit).alias("salts"),
     )
+    if frequencies is not None:
+        terms = terms.drop("df").join(frequencies.select("term", "df"), "term", "left")
     # One row per salt under which a term occurs, as many as the counts had.
     salts = F.filter(
         F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.getbit(F.col("salts"), i) == 1
@@ -102,8 +110,9 @@ def tfidf_scores(
     # idf = L + g with L = ln(1 + N) and g = 1 - ln(1 + df), so a sum of x * idf^2 is
     # L^2 * sum(x) + 2 * L * sum(x * g) + sum(x * g^2).  N is thus not needed before the last
     # step, where it is the number of documents that come out of this very aggregation.
-    g = F.lit(1.0) - F.ln(F.lit(1.0) + F.col("df"))
-    tf = F.when(F.col("term") != "", F.col("tf").cast("double")).otherwise(F.lit(0.0))
+    g = F.lit(1.0) - F.ln(F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0)))
+    counts_in = (F.col("term") != "") & F.col("df").isNotNull()
+    tf = F.when(counts_in, F.col("tf").cast("double")).otherwise(F.lit(0.0))
     wanted = F.coalesce(F.col("profile_tf"), F.lit(0)).cast("double")
     sums = (
         pairs.join(salted_terms.hint("shuffle_hash"), ["term", "salt"])
@@ -125,9 +134,10 @@ def tfidf_scores(
     # The profile's own row: there x and y are the same.  Reading both, like the rows below do,
     # lets Spark reuse the shuffle by document.
     log_n = F.ln(F.lit(1.0) + F.col("n_docs"))
+    corpus_size = F.count(F.lit(1)) if n_docs is None else F.max(n_docs)
     stats = (
         sums.agg(
-            F.count(F.lit(1)).alias("n_docs"),
+            corpus_size.alias("n_docs"),
             *[F.max(F.when(F.col("n") == 0, F.col(c))).alias(c) for c in sums.columns[1:-1]],
         )
         .select(
@@ -154,7 +164,11 @@ def tfidf_cosine(
     profile: DataFrame,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     column: str = "tfidf_cosine_score",
+    frequencies: DataFrame | None = None,
+    n_docs: Column | None = None,
 ) -> DataFrame:
     """Add the TF-IDF cosine with the profile; the join by id moves one number per posting."""
-    scores = tfidf_scores(postings, profile, stop_words=stop_words)
+    scores = tfidf_scores(
+        postings, profile, stop_words=stop_words, frequencies=frequencies, n_docs=n_docs
+    )
     return postings.join(scores.withColumnRenamed("score", column), "id", "left")

@@ -18,6 +18,12 @@ from fitrank.operators.tfidf import tfidf_cosine
 Step = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
 
+def _tfidf(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
+    """Takes kept corpus statistics by ``frequencies`` and ``n_docs``."""
+    how = {k: options[k] for k in ("frequencies", "n_docs") if k in options}
+    return tfidf_cosine(postings, profile, **how)
+
+
 def _semantic(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
     """Uses given ``vectors`` and ``profile_vector``, else an encoder plug-in."""
     if "vectors" in options:
@@ -38,7 +44,7 @@ def _answers(postings: DataFrame, profile: DataFrame, options: dict) -> DataFram
 
 STEPS: dict[str, Step] = {
     "keyword_match": lambda df, profile, _: keyword_match(df, profile),
-    "tfidf_cosine": lambda df, profile, _: tfidf_cosine(df, profile),
+    "tfidf_cosine": _tfidf,
     "semantic_score": _semantic,
     "cross_encoder_score": _pairs,
     "llm_fit_score": _answers,
