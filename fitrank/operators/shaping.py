@@ -17,10 +17,9 @@ SCORE_SUFFIX = "_score"
 def number_text(c: Column) -> Column:
     """A float as output text: whole numbers without a fraction, not-a-number and infinity null."""
     finite = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
-    whole = finite == F.floor(finite)
-    return F.when(whole, finite.cast("decimal(38,0)").cast("string")).otherwise(
-        finite.cast("string")
-    )
+    # A number too large for the decimal keeps its exponent form.
+    whole = F.when(finite == F.floor(finite), finite.try_cast("decimal(38,0)").cast("string"))
+    return F.coalesce(whole, finite.cast("string"))
 
 
 def clean_records(df: DataFrame) -> DataFrame:

@@ -248,8 +248,9 @@ def test_links(spark):
 
 
 def test_clean_numbers(spark):
-    df = spark.createDataFrame([(1e15, float("nan")), (2.5, float("-inf"))], "a double, b double")
-    assert rows(shaping.clean_records(df), "*") == [("1000000000000000", None), ("2.5", None)]
+    df = spark.createDataFrame([(1e15, float("nan")), (2.5, float("-inf")), (1e300, None)], "a double, b double")
+    want = [("1000000000000000", None), ("2.5", None), ("1.0E300", None)]
+    assert rows(shaping.clean_records(df), "*") == want
 
 
 def test_markup(spark):
