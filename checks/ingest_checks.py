@@ -345,6 +345,10 @@ SELECT id, rule_no, CASE rule_no {' '.join(f"WHEN {i} THEN '{t}'" for i, t in en
   row_number() OVER (PARTITION BY {sql_norm('title')}, {sql_norm('company')} ORDER BY id) AS rn
   FROM postings) WHERE rn = 1""",
     ),
+    "unique_ids": (
+        lambda v: base(ranking.unique_ids(v.postings.union(v.postings))),
+        f"{P} SELECT id, title, company FROM postings",
+    ),
     "adaptive_lookback": (
         lambda v: lookback.adaptive_lookback(
             filters.filter_chain(v.postings, INGEST_RULES, v.seen), v.as_of, LOOKBACK

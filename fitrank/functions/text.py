@@ -53,9 +53,12 @@ def literal_array(words: Sequence[str]) -> Column:
 def remove_stop_words(
     tokens: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS
 ) -> Column:
-    """Drop stop words from a token array and keep repeats, by one hashed probe per token."""
-    stop = F.create_map(*[x for w in stop_words for x in (F.lit(w), F.lit(True))])
-    return F.filter(tokens, lambda t: F.element_at(stop, t).isNull()) if stop_words else tokens
+    """Drop stop words from a token array and keep repeats.
+
+    Spark turns a membership test against a long list of literals into one hash probe.
+    """
+    stop = list(stop_words)
+    return F.filter(tokens, lambda t: ~t.isin(stop)) if stop else tokens
 
 
 def distinct_terms(c: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:

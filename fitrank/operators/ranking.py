@@ -13,6 +13,11 @@ from fitrank.functions.text import contains_any, norm_key
 from fitrank.operators.filters import posted_since, remote_matches
 
 
+def unique_ids(postings: DataFrame) -> DataFrame:
+    """One row per id, for pools that hold copies; each task sends at most one row per id."""
+    return postings.dropDuplicates(["id"])
+
+
 def first_per_key(
     postings: DataFrame, order_by: Sequence[str], text_columns: Sequence[str] = ("description",)
 ) -> DataFrame:
@@ -43,7 +48,10 @@ def dedup_reposts(
     order_by: Sequence[str],
     text_columns: Sequence[str] = ("description",),
 ) -> DataFrame:
-    """First posting per normalised (title, company) in the order given."""
+    """First posting per normalised (title, company) in the order given.
+
+    If ids may repeat, apply ``unique_ids`` first: the texts are joined back by ``order_by``.
+    """
     first = first_per_key(postings, order_by, text_columns)
     return join_texts(first, postings, order_by, text_columns).select(postings.columns)
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fitrank.config import FilterRules
 from fitrank.operators.filters import filter_chain
-from fitrank.operators.ranking import dedup_reposts
+from fitrank.operators.ranking import dedup_reposts, unique_ids
 from fitrank.operators.scoring import keyword_match
 from fitrank.schemas import POSTING
 from fitrank.sources.seen import SEEN_SCHEMA
@@ -91,7 +91,7 @@ def scored_batches(
             if batch_id
             else spark.createDataFrame([], SEEN_SCHEMA)
         )
-        kept = filter_chain(batch, rules, earlier).dropDuplicates(["id"])
+        kept = unique_ids(filter_chain(batch, rules, earlier))
         scored = keyword_match(dedup_reposts(kept, ("id",)), profile)
         scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         ids = batch.select(F.col("id").cast("string").alias("id")).distinct()

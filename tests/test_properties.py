@@ -70,6 +70,17 @@ def test_dedup_equals_brute_force(spark):
     assert sorted(r.id for r in out) == sorted(firsts.values())
 
 
+def test_copies_of_one_posting(spark):
+    """A third of the pool are copies of one row, id included."""
+    data, df = skewed_postings(spark)
+    copies = df.where("id = '00007'").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n")
+    pool = df.union(copies).withColumn("description", F.col("id"))
+    out = ranking.dedup_reposts(ranking.unique_ids(pool), ("id",)).collect()
+    want = ranking.dedup_reposts(df, ("id",)).collect()
+    assert sorted(r.id for r in out) == sorted(r.id for r in want)
+    assert all(r.description == r.id for r in out)
+
+
 @pytest.mark.parametrize("n", [1, 5, 400])
 def test_topn_equals_brute_force(spark, n):
     """One search holds most hits."""
