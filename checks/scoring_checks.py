@@ -137,7 +137,8 @@ def q_embed_score(v: Views):
 
 def q_pairs(v: Views):
     scored = plugins.pair_score(v.postings, v.profile)
-    return six(scored.select("id", "cross_encoder_score"), "cross_encoder_score")
+    # Shares of up to 666 words: at nine digits none of them lies halfway between two values.
+    return scored.select("id", F.round("cross_encoder_score", 9).alias("cross_encoder_score"))
 
 
 def q_select(v: Views):
@@ -234,7 +235,7 @@ SELECT p.id, round(coalesce(c.score, 0e0), 6) AS semantic_score FROM postings p
 wanted AS (SELECT DISTINCT unnest(regexp_extract_all(lower(left(text, 2000)), '{TOKEN}')) AS term FROM profile),
 n AS (SELECT p.id, count(w.term) AS n, count(x.term) AS k FROM postings p LEFT JOIN words w ON w.id = p.id
   LEFT JOIN wanted x ON x.term = w.term GROUP BY p.id)
-SELECT id, round((k + 1e0) / (n + 2e0), 6) AS cross_encoder_score FROM n""",
+SELECT id, round((k + 1e0) / (n + 2e0), 9) AS cross_encoder_score FROM n""",
     ),
     "build_prompts": (
         q_prompts,
