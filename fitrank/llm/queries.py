@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitrank.llm import bpe_codec, token_count
+from fitrank.llm import bpe_codec, compression_quality, hypervector_language, token_count
 
 TOKEN_LIMIT = 1024
+QUALITY_CUT = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,31 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def id_remainder(modulus: int, id_column: str = "doc_id") -> Column:
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
+
+
+def op6_hypervector_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(4) == 2
+    profiles = hypervector_language.learn(docs, ~held_out)
+    return hypervector_language.identify(docs, profiles).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(5) == 0
+    model = compression_quality.learn(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return compression_quality.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"),
+    )
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +73,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_count": op2_token_count,
+    "op6_hypervector_language": op6_hypervector_language,
+    "op9_compression_quality": op9_compression_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLES: dict[str, str] = {}
