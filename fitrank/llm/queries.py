@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitrank.llm import bpe_codec, compression_quality, hypervector_language, token_count
+from fitrank.llm import (
+    bpe_codec,
+    compression_quality,
+    hypervector_language,
+    mincut_html,
+    token_count,
+)
 
 TOKEN_LIMIT = 1024
 QUALITY_CUT = 0.3
@@ -28,6 +34,12 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut_html.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def id_remainder(modulus: int, id_column: str = "doc_id") -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
@@ -73,6 +85,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_count": op2_token_count,
+    "op5_mincut_html": op5_mincut_html,
     "op6_hypervector_language": op6_hypervector_language,
     "op9_compression_quality": op9_compression_quality,
     "op10_bpe_codec": op10_bpe_codec,
