@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from fitrank.llm import (
     bpe_codec,
     compression_quality,
+    containment,
     hypervector_language,
+    link_trust,
     mincut_html,
     token_count,
 )
 
 TOKEN_LIMIT = 1024
 QUALITY_CUT = 0.3
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +43,12 @@ def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.search(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut_html.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
@@ -53,6 +68,10 @@ def op6_hypervector_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(5) == 0
@@ -85,9 +104,14 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_count": op2_token_count,
+    "op3_containment": op3_containment,
     "op5_mincut_html": op5_mincut_html,
     "op6_hypervector_language": op6_hypervector_language,
+    "op7_link_trust": op7_link_trust,
     "op9_compression_quality": op9_compression_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_containment": containment.ORACLE,
+    "op7_link_trust": link_trust.oracle(URL_RULES),
+}
