@@ -13,6 +13,7 @@ from fitrank.llm import (
     link_trust,
     mincut_html,
     token_count,
+    weighted_minhash,
 )
 
 TOKEN_LIMIT = 1024
@@ -36,6 +37,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.count_tokens(
         table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")
@@ -103,6 +108,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_weighted_minhash": op1_weighted_minhash,
     "op2_token_count": op2_token_count,
     "op3_containment": op3_containment,
     "op5_mincut_html": op5_mincut_html,
