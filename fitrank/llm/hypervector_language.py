@@ -22,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from fitrank.llm.batches import as_batch, narrow, text_slices
 
 DIMENSIONS = 1024
 TRAIN_ROWS = 5000  # expected number of labelled rows to learn from, for each language
 UNKNOWN = "und"
+LEAST_SCORE = 0.03
 GRAM_BLOCK = 4096  # n-gram vectors held at a time
 SLICE = 2 << 20
 
@@ -166,14 +168,31 @@ def identify(
     docs: DataFrame, profiles: Profiles, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score``, the cosine with that language, 0 at least."""
+    kind = docs.schema[id_column].dataType.simpleString()
     return narrow(docs, id_column, text_column).mapInArrow(
-        predictor(profiles, "text", ["doc_id"]),
-        f"doc_id {docs.schema[id_column].dataType.simpleString()}, lang_pred string, score double",
+        predictor(profiles, ["doc_id"], ("lang_pred", "score")),
+        f"doc_id {kind}, lang_pred string, score double",
     )
 
 
-def predictor(profiles: Profiles, text_column: str, carried: list[str]):
-    """A function over Arrow batches that gives the carried columns, lang_pred and score."""
+def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents in a known language, with all their columns.
+
+    Rejected are texts without a letter and those less like every language than ``least``.  With no
+    language learned, only the former.
+    """
+    if not profiles.languages:
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
+    names = ("lang_pred__", "score__")
+    schema = StructType([*docs.schema.fields])
+    schema = schema.add(names[0], StringType()).add(names[1], DoubleType())
+    judged = docs.mapInArrow(predictor(profiles, docs.columns, names), schema)
+    kept = (judged[names[0]] != UNKNOWN) & (judged[names[1]] >= least)
+    return judged.filter(kept).select(*[judged[c] for c in docs.columns])
+
+
+def predictor(profiles: Profiles, carried: list[str], names: tuple[str, str]):
+    """A function over Arrow batches that gives the carried columns, language and score."""
     table = letter_table()
     languages = [*profiles.languages, UNKNOWN]
     lengths = np.linalg.norm(profiles.prototypes, axis=1, keepdims=True)
@@ -181,7 +200,7 @@ def predictor(profiles: Profiles, text_column: str, carried: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
-        for part, texts in text_slices(batches, text_column, SLICE):
+        for part, texts in text_slices(batches, "text", SLICE):
             best = np.full(len(texts), len(languages) - 1)
             score = np.zeros(len(texts))
             if directions is not None:
@@ -194,8 +213,8 @@ def predictor(profiles: Profiles, text_column: str, carried: list[str]):
             yield as_batch(
                 {
                     **{name: part.column(name) for name in carried},
-                    "lang_pred": pa.array([languages[i] for i in best], pa.string()),
-                    "score": pa.array(score, pa.float64()),
+                    names[0]: pa.array([languages[i] for i in best], pa.string()),
+                    names[1]: pa.array(score, pa.float64()),
                 }
             )
 

@@ -9,15 +9,18 @@ from fitrank.llm import (
     bpe_codec,
     compression_quality,
     containment,
+    hnsw,
     hypervector_language,
     link_trust,
     mincut_html,
+    surrogates,
     token_count,
     weighted_minhash,
 )
 
 TOKEN_LIMIT = 1024
 QUALITY_CUT = 0.3
+SURROGATE_KEY = b"a key for the test tables only"
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -54,6 +57,11 @@ def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return replaced.select("doc_id", "text", F.col("n_entities__").alias("n_entities"))
+
+
 def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut_html.extract(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
@@ -77,6 +85,10 @@ def op7_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_remainder(5) == 0
@@ -111,9 +123,11 @@ QUERIES = {
     "op1_weighted_minhash": op1_weighted_minhash,
     "op2_token_count": op2_token_count,
     "op3_containment": op3_containment,
+    "op4_surrogates": op4_surrogates,
     "op5_mincut_html": op5_mincut_html,
     "op6_hypervector_language": op6_hypervector_language,
     "op7_link_trust": op7_link_trust,
+    "op8_hnsw": op8_hnsw,
     "op9_compression_quality": op9_compression_quality,
     "op10_bpe_codec": op10_bpe_codec,
 }
