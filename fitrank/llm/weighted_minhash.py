@@ -9,15 +9,17 @@
 3. A shingle weighs (1 + ln tf) * idf.  The idf falls with the logarithm of the document frequency,
    from 1 for shingles at ``COMMON`` or below to ``FLOOR`` for one that is in all rows.  The floor
    keeps large groups of near copies together, whose shared shingles are common only within them.
-4. Each node gets ``BANDS`` buckets of ``ROWS`` weighted samples each.  In every bucket all members are
-   paired with the smallest one only, never with each other.
+4. Each node gets ``BANDS`` buckets of ``ROWS`` weighted samples each.  Two texts at similarity 0.8
+   share one with probability 0.9994.  In a bucket all members are paired with the most central one
+   only, never with each other.
 5. Pairs are verified: the weighted Jaccard similarity of their whole texts must reach the threshold.
    Links make components.
 6. Where members of a bucket are still in different components, they are paired across components,
-   as long as that gives up to ``PARTNERS`` pairs for each member.  Nodes of buckets with more, which
-   mix groups that share a passage, are dealt to finer buckets first, one for each two of their
-   bands, and if that is not enough one for each three.  Two texts at similarity 0.8 share one band
-   with probability 0.9994 and two with 0.993; at 0.85 with 1.0000 and 0.9995.
+   if that gives up to ``PARTNERS`` pairs for each member.  Buckets that would give more hold texts
+   that share a passage.  Their nodes are paired by prefix: with a text's shingles ordered from those
+   in few of these texts to those in many, two texts at the threshold share one of those shingles
+   of either that come before the last 80 % of its weight.  This finds every such pair, while a
+   shared passage comes last and pairs nobody.
 
 Defined results: null texts are classes of their own; equal texts are one class, also those without
 a word, which are linked to no other text; null and repeated ids are kept row by row.
@@ -26,13 +28,12 @@ a word, which are linked to no other text; null and repeated ids are kept row by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from fitrank.llm.batches import as_batch, text_slices
 from fitrank.llm.components import components
@@ -41,9 +42,9 @@ from fitrank.llm.shingles import Shingler, counted, mixed, word_table
 
 THRESHOLD = 0.8
 COMMON = 0.01
-FLOOR = 0.75
+FLOOR = 0.9
 BANDS, ROWS = 14, 4
-PARTNERS = 32
+PARTNERS = 8
 SLICE = 3 << 20
 BLOCK = 1 << 15  # shingles sampled at once, so that the arrays stay in the processor's cache
 
@@ -217,51 +218,92 @@ def banded(texts: DataFrame, common: Common) -> DataFrame:
     )
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Edges ``a`` < ``b`` of each member of a ``bucket`` with its smallest member."""
-    first = members.groupBy("bucket").agg(F.min("key").alias("a"), F.count("*").alias("size"))
+def stars(shared: DataFrame) -> DataFrame:
+    """Edges ``a`` < ``b`` of each member of a ``bucket`` with its most central member.
+
+    That is the member whose buckets have the most members in all.  In a group of copies that were
+    each changed at other places it is the text they come from, to which each is more similar than
+    to the others.
+    """
+    central = shared.groupBy("key").agg(F.sum("size").alias("weight"))
+    weighted = settle(shared.select("bucket", "key").join(central, "key"), "weighted")
+    middle = weighted.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("middle"))
     return (
-        members.join(first.filter("size > 1"), "bucket")
-        .filter(F.col("key") != F.col("a"))
-        .select("a", F.col("key").alias("b"))
+        weighted.join(middle.select("bucket", F.col("middle.key").alias("middle")), "bucket")
+        .filter(F.col("key") != F.col("middle"))
+        .select(F.least("key", "middle").alias("a"), F.greatest("key", "middle").alias("b"))
         .distinct()
     )
 
 
-def finer(bands: DataFrame, keys: DataFrame, together: int) -> DataFrame:
-    """``key`` and ``bucket`` of the given nodes, a bucket for each set of so many of their bands."""
-    sets = list(combinations(range(BANDS), together))
-    chosen = F.transform(
-        F.array(*[F.array(*map(F.lit, s)) for s in sets]),
-        lambda own: F.xxhash64(own, *[F.get("buckets", F.get(own, i)) for i in range(together)]),
+def prefixes(texts: DataFrame, common: Common) -> DataFrame:
+    """``key`` and ``bucket``, a row for each shingle of the prefix that is in several of the texts,
+    with the weight of the text from there on (``rest``) and in all (``total``)."""
+    table = word_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(table)
+        for part, slice_texts in text_slices(batches, "text", SLICE):
+            owners, hashes, repeats = counted(*shingler(slice_texts))
+            weight = weights(hashes, repeats, common)
+            total = np.bincount(owners, weight, minlength=len(slice_texts))
+            yield as_batch(
+                {
+                    "key": part.column("key").take(pa.array(owners)),
+                    "bucket": pa.array(hashes.view(np.int64)),
+                    "weight": pa.array(weight),
+                    "total": pa.array(total[owners]),
+                }
+            )
+
+    schema = "key binary, bucket bigint, weight double, total double"
+    weighed = settle(texts.select("key", "text").mapInArrow(run, schema), "weighed")
+    holders = weighed.groupBy("bucket").agg(F.count("*").alias("texts")).filter("texts > 1")
+    own = Window.partitionBy("key")
+    # What only one text has comes first, and pairs nobody; then the rarer of the others.
+    later = own.orderBy(F.desc("texts"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = F.sum("weight").over(later)
+    return (
+        weighed.join(holders, "bucket")
+        .withColumn("rest", rest)
+        .filter(F.col("rest") >= (THRESHOLD - 1e-6) * F.col("total"))
+        .select("key", "bucket", "rest", "total")
     )
-    return bands.join(keys, "key", "left_semi").select("key", F.explode(chosen).alias("bucket"))
 
 
-def crossing(rooted: DataFrame, bound: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a`` < ``b`` of different components in a bucket, and the nodes of the buckets that
-    would give more than ``bound`` pairs for each member, which are left out."""
-    sizes = (
+def sizes_across(rooted: DataFrame) -> DataFrame:
+    """``bucket``, ``size`` and how many pairs it has across components, if any."""
+    return (
         rooted.groupBy("bucket", "root")
         .agg(F.count("*").alias("n"))
         .groupBy("bucket")
         .agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
-        .withColumn("across", (F.col("size") * F.col("size") - F.col("within")) / 2)
-        .filter("across > 1")  # a bucket of two has been compared by its star
+        .select("bucket", "size", ((F.col("size") ** 2 - F.col("within")) / 2).alias("across"))
+        .filter("across > 0")
+    )
+
+
+def crossing(rooted: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` of different components in a bucket.
+
+    Of buckets by prefix only those whose weights from there on, which are all that the texts can
+    share if this is the first shingle they share, are enough for the threshold.
+    """
+    left, right = (
+        rooted.select([F.col(c).alias(c if c == "bucket" else f"{c}_{side}") for c in rooted.columns])
+        for side in "ab"
     )
-    fits = F.lit(True) if bound is None else F.col("across") <= F.col("size") * bound
-    some = rooted.join(sizes.filter(fits).select("bucket"), "bucket")
-    rest = rooted.join(sizes.filter(~fits).select("bucket"), "bucket").select("key").distinct()
-    left, right = some.toDF("bucket", "a", "root_a"), some.toDF("bucket", "b", "root_b")
-    pairs = left.join(right, "bucket").filter("a < b and root_a != root_b").select("a", "b")
-    return pairs.distinct(), rest
+    across = "key_a < key_b and root_a != root_b"
+    if "rest" in rooted.columns:
+        enough = (THRESHOLD - 1e-6) / (1 + THRESHOLD)
+        across += f" and least(rest_a, rest_b) >= {enough} * (total_a + total_b)"
+    pairs = left.join(right, "bucket").filter(across)
+    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, texts: DataFrame, common: Common) -> DataFrame:
-    """The pairs whose weighted Jaccard similarity reaches the threshold."""
+    """The pairs whose weighted Jaccard similarity reaches the threshold; ``texts`` once by key."""
     table = word_table()
-    wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select("b")).distinct()
-    found = settle(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(table)
@@ -273,7 +315,7 @@ def linked(pairs: DataFrame, texts: DataFrame, common: Common) -> DataFrame:
                 mask = pa.array(like >= THRESHOLD - 1e-9)
                 yield some.select(["a", "b"]).filter(mask)
 
-    both = pairs.join(found.toDF("a", "text_a"), "a").join(found.toDF("b", "text_b"), "b")
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -283,28 +325,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     common = common_shingles(texts, docs.count())
     bands = settle(banded(texts, common), "bands")
     members = bands.select("key", F.explode("buckets").alias("bucket"))
-    pairs = settle(stars(members), "pairs")
-    links = settle(linked(pairs, texts, common), "links")
-    roots = components(links)
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = settle(members.join(sizes, "bucket"), "shared")
+    # The texts move once; all later steps use the few that share a bucket.
+    some = settle(
+        texts.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]),
+        "texts",
+    )
+    pairs = settle(stars(shared), "pairs")
+    links = settle(linked(pairs, some, common), "links")
+    roots = components(links).withColumnRenamed("node", "key")
 
     def rooted(own: DataFrame) -> DataFrame:
-        named = own.join(roots.withColumnRenamed("node", "key"), "key", "left")
-        return settle(named.select("bucket", "key", F.coalesce("root", "key").alias("root")), "rooted")
-
-    more, rest = crossing(rooted(members), PARTNERS)
-    found = [more]
-    for together, bound in ((2, PARTNERS), (3, None)):
-        rest = settle(rest, "rest")
-        if rest.isEmpty():
-            break
-        more, rest = crossing(rooted(finer(bands, rest, together)), bound)
-        found.append(more)
-    new = settle(
-        reduce(DataFrame.unionAll, found).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs"
-    )
-    if new.isEmpty():
-        return roots.withColumnRenamed("node", "key")
-    new_links = settle(linked(new, texts, common), "links")
+        named = own.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        return settle(named, "rooted")
+
+    in_buckets = rooted(shared.select("key", "bucket"))
+    across = settle(sizes_across(in_buckets), "across")
+    fits = F.col("across") <= F.col("size") * PARTNERS
+    near = crossing(in_buckets.join(across.filter(fits).select("bucket"), "bucket"))
+    rest = in_buckets.join(across.filter(~fits).select("bucket"), "bucket").select("key").distinct()
+    by_prefix = prefixes(some.join(settle(rest, "rest"), "key", "left_semi"), common)
+    far = crossing(rooted(by_prefix))
+    new = settle(near.unionAll(far).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    new_links = settle(linked(new, some, common), "links")
+    if new_links.isEmpty():
+        return roots
     return components(links.unionAll(new_links)).withColumnRenamed("node", "key")
 
 
