@@ -161,7 +161,7 @@ def learn(
     )
     wide = summed.pivot(index="lang", columns="place", values="value").sort_index()
     wide = wide[(wide != 0).any(axis=1)]
-    return Profiles(list(wide.index), wide.to_numpy(np.float64).reshape(len(wide), -1))
+    return Profiles(list(wide.index), wide.to_numpy(np.float64))
 
 
 def identify(

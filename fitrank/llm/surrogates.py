@@ -47,10 +47,13 @@ NAME = re.compile(
 EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IPV4 = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 PHONE = re.compile(
-    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){0,4}(?![\w@]|\.\d)"
+    r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|0\d{1,4}[ /])?"
+    r"\d{2,4}(?:(?:[.-]\d{2,4}){1,4}|(?: \d{2,4}){1,4})?(?![\w@]|[.-]\d)"
 )
 PLAIN = re.compile(r"(?:19|20)\d\d[ .-](?:0?\d|1[0-2])[ .-]|\d{1,3}(?:[ .]\d{3})+$")  # dates, sums
-CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w@])")
+CARD = re.compile(
+    r"(?<![\w.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{5})(?![\w@])"
+)
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS_KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)([0-9A-Z]{16})(?!\w)")
@@ -101,7 +104,7 @@ def numbers(text: str) -> Iterator[Entity]:
     for m in PHONE.finditer(text):
         digits = digits_of(m[0])
         least = 7 if m[0][0] in "+(" else 10
-        if least <= len(digits) <= 15 and any(c in m[0] for c in "+( .-") and not PLAIN.match(m[0]):
+        if least <= len(digits) <= 15 and any(c in m[0] for c in "+( .-/") and not PLAIN.match(m[0]):
             # With or without the country code 1 it is the same number.
             national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
             yield Entity(*m.span(), "phone", national)
