@@ -63,7 +63,7 @@ points AS (SELECT id, answer, coalesce(
 answers AS (SELECT id, least(10e0, greatest(0e0, points)) / 10 AS score,
     CASE WHEN regexp_matches(answer, '(?i)REASON:\s*[^\n]+')
       THEN regexp_replace(regexp_extract(answer, '(?i)REASON:\s*([^\n]+)', 1), '^\s+|\s+$', '', 'g')
-      ELSE left(regexp_replace(answer, '^\s+|\s+$', '', 'g'), 200) END AS rationale FROM points),
+      ELSE regexp_replace(answer, '^\s+|\s+$', '', 'g') END AS rationale FROM points),
 fit AS (SELECT p.id, CASE WHEN coalesce(p.description, '') = '' OR a.id IS NULL THEN 0e0 ELSE a.score END
     AS score, CASE WHEN coalesce(p.description, '') = '' OR a.id IS NULL THEN '' ELSE a.rationale END
     AS rationale FROM postings p LEFT JOIN answers a USING (id))"""
@@ -167,13 +167,12 @@ CHECKS = {
 ' ') AS tokens FROM postings""",
     ),
     "remove_stop_words": (
-        lambda v: v.postings.where("description IS NOT NULL").select(
+        lambda v: v.postings.select(
             "id",
-            F.array_join(TX.remove_stop_words(TX.tokenize(F.col("description"))), " ").alias("tokens"),
+            F.array_join(TX.remove_stop_words(TX.tokenize(F.coalesce("description", F.lit("")))), " ").alias("tokens"),
         ),
-        f"""{P} SELECT id, array_to_string(list_filter(regexp_extract_all(lower(description), '{TOKEN}'),
-  lambda x: x NOT IN ({quoted(ENGLISH_STOP_WORDS)})), ' ') AS tokens
-FROM postings WHERE description IS NOT NULL""",
+        f"""{P} SELECT id, array_to_string(list_filter(regexp_extract_all(lower(coalesce(
+  description, '')), '{TOKEN}'), lambda x: x NOT IN ({quoted(ENGLISH_STOP_WORDS)})), ' ') AS tokens FROM postings""",
     ),
     "distinct_terms": (
         lambda v: v.postings.select(
@@ -230,17 +229,17 @@ SELECT p.id, round(coalesce(c.score, 0e0), 6) AS semantic_score FROM postings p
     ),
     "pair_score": (
         q_pairs,
-        f"""{PP}, words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(left(description, 2000)),
+        f"""{PP}, words AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(description),
   '{TOKEN}')) AS term FROM postings),
-wanted AS (SELECT DISTINCT unnest(regexp_extract_all(lower(left(text, 2000)), '{TOKEN}')) AS term FROM profile),
+wanted AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM profile),
 n AS (SELECT p.id, count(w.term) AS n, count(x.term) AS k FROM postings p LEFT JOIN words w ON w.id = p.id
   LEFT JOIN wanted x ON x.term = w.term GROUP BY p.id)
 SELECT id, round((k + 1e0) / (n + 2e0), 9) AS cross_encoder_score FROM n""",
     ),
     "build_prompts": (
         q_prompts,
-        f"""{PP} SELECT id, concat('{PROMPT_HEAD}', left(description, 1800), '{PROMPT_MIDDLE}',
-(SELECT left(text, 1800) FROM profile)) AS prompt FROM postings WHERE description <> ''""",
+        f"""{PP} SELECT id, concat('{PROMPT_HEAD}', description, '{PROMPT_MIDDLE}',
+(SELECT text FROM profile)) AS prompt FROM postings WHERE description <> ''""",
     ),
     "parse_responses": (
         lambda v: joins.parse_responses(v.responses),

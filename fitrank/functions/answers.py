@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fitrank.functions.fixed_values import ANSWER_PROMPT, PROMPT_CHARS, RATIONALE_CHARS
+from fitrank.functions.fixed_values import ANSWER_PROMPT
 from fitrank.functions.text import strip_space
 
 # Patterns of the two answer lines and of a bare number.
@@ -16,14 +16,19 @@ BARE_NUMBER = r"\b(\d+(?:\.\d+)?)\b"
 DEFAULT_POINTS = 5.0
 
 
-def build_prompt(description: Column, profile: Column, max_chars: int = PROMPT_CHARS) -> Column:
-    """Prompt text for one posting; null when there is nothing to rate."""
+def shortened(text: Column, max_chars: int | None) -> Column:
+    return F.left(text, F.lit(max_chars)) if max_chars else text
+
+
+def build_prompt(description: Column, profile: Column, max_chars: int | None = None) -> Column:
+    """Prompt text for one posting; null when there is nothing to rate.
+
+    Both texts are whole unless the caller gives a length.
+    """
     head, rest = ANSWER_PROMPT.split("{job}")
     middle, tail = rest.split("{resume}")
-    size = F.lit(max_chars)
-    prompt = F.concat(
-        F.lit(head), F.left(description, size), F.lit(middle), F.left(profile, size), F.lit(tail)
-    )
+    job, resume = shortened(description, max_chars), shortened(profile, max_chars)
+    prompt = F.concat(F.lit(head), job, F.lit(middle), resume, F.lit(tail))
     return F.when(description != "", prompt)
 
 
@@ -45,10 +50,15 @@ def answer_score(answer: Column, description: Column, error: Column) -> Column:
     return F.when(failed, F.lit(0.0)).otherwise(answer_points(answer) / 10)
 
 
-def answer_rationale(answer: Column, description: Column, error: Column) -> Column:
-    """Text after the reason mark, else the head of the answer; error text for a failed call."""
+def answer_rationale(
+    answer: Column, description: Column, error: Column, max_chars: int | None = None
+) -> Column:
+    """Text after the reason mark, else the whole answer; error text for a failed call.
+
+    ``max_chars`` shortens an answer without the mark, for results as other tools give them.
+    """
     reason = strip_space(F.regexp_extract(answer, REASON_LINE, 1))
-    head = F.left(strip_space(answer), F.lit(RATIONALE_CHARS))
+    head = shortened(strip_space(answer), max_chars)
     return (
         F.when(F.coalesce(description, F.lit("")) == "", F.lit(""))
         .when(error.isNotNull(), F.concat(F.lit("error: "), error))

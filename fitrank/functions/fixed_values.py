@@ -83,12 +83,6 @@ REPORT_COLUMNS = (
     "cross_encoder_score", "llm_fit_score", "llm_fit_rationale", "final_score", "description",
 )
 
-# Window of the text that a pair scorer and an answer prompt are given, in
-# characters.  Both belong to the input format of the external model.
-PAIR_CHARS = 2000
-PROMPT_CHARS = 1800
-RATIONALE_CHARS = 200
-
 # The prompt handed to an external answering service.
 ANSWER_PROMPT = """\
 Rate how well this candidate fits the job. Respond with exactly two lines:

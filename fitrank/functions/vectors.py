@@ -12,6 +12,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in -1..1; 0.0 if a vector is missing or has no length."""
+    """Cosine in -1..1; 0.0 if a vector is missing or has no length.
+
+    Vectors of different sizes come from different models and are an error.
+    """
     lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.coalesce(F.try_divide(dot(a, b), lengths), F.lit(0.0))
+    value = F.coalesce(F.try_divide(dot(a, b), lengths), F.lit(0.0))
+    sizes = F.concat_ws(" and ", F.size(a).cast("string"), F.size(b).cast("string"))
+    other = F.raise_error(F.concat(F.lit("vectors of different sizes: "), sizes)).cast("double")
+    return F.when(F.size(a) != F.size(b), other).otherwise(value)

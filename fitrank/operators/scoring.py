@@ -48,7 +48,8 @@ def term_set_ops(
 
     Pure array algebra inside the row; nothing is exploded or shuffled.
     """
-    wanted = profile_terms(profile, stop_words)
+    none = F.array().cast("array<string>")  # without a profile nothing is met
+    wanted = F.coalesce(profile_terms(profile, stop_words), none)
     terms = distinct_terms(F.coalesce(F.col("description"), F.lit("")), stop_words)
     tech = F.array_intersect(F.col("_terms"), literal_array(tech_terms))
     return (
@@ -96,14 +97,20 @@ def embedding_cosine(
     """Cosine of posting and profile vectors; 0.0 without text or vector.
 
     ``vectors`` has ``id`` and ``embedding``.  The score is computed on the vector side, so the
-    join moves one number per posting and no vector.
+    join moves one number per posting and no vector; of several vectors of an id the best counts.
+    Whether there is text is one flag taken before the join.
     """
     # A subquery may not stand inside an array function, so it becomes a column first.
-    paired = vectors.select("id", "embedding", profile_vector.alias("_wanted"))
-    scores = paired.select("id", cosine(F.col("embedding"), F.col("_wanted")).alias("_cosine"))
-    has_text = F.coalesce(F.col("description"), F.lit("")) != ""
-    value = F.when(has_text, F.coalesce(F.col("_cosine"), F.lit(0.0))).otherwise(F.lit(0.0))
-    return postings.join(scores, "id", "left").withColumn(column, value).drop("_cosine")
+    paired = vectors.select(F.col("id").alias("_id"), "embedding", profile_vector.alias("_wanted"))
+    scores = (
+        paired.select("_id", cosine(F.col("embedding"), F.col("_wanted")).alias("_cosine"))
+        .groupBy("_id")
+        .agg(F.max("_cosine").alias("_cosine"))
+    )
+    flagged = postings.withColumn("_text", F.coalesce(F.col("description"), F.lit("")) != "")
+    value = F.when(F.col("_text"), F.coalesce(F.col("_cosine"), F.lit(0.0))).otherwise(F.lit(0.0))
+    joined = flagged.join(scores, flagged["id"] == scores["_id"], "left")
+    return joined.withColumn(column, value).drop("_id", "_cosine", "_text")
 
 
 def weighted_mean(weights: Mapping[str, float]) -> Column:

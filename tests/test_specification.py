@@ -82,7 +82,7 @@ def test_term_counts(spark):
         ("SCORE:\n 9\nREASON: late", 0.9, "late"),
         ("", 0.5, ""),
         ("REASON:\nnext line 4", 0.4, "next line 4"),
-        ("  " + "x" * 300, 0.5, "x" * 200),
+        ("  " + "x" * 300, 0.5, "x" * 300),
         ("SCORE: 3 SCORE: 9", 0.3, "SCORE: 3 SCORE: 9"),
     ],
 )
@@ -106,7 +106,9 @@ def test_prompt(spark):
     df = posting(spark, ("1", "t", "c", "j" * 2000), ("2", "t", "c", None))
     got = rows(joins.build_prompts(df, profile(spark, "r" * 1900)), "id", "prompt")
     assert len(got) == 1
-    assert got[0][1].endswith("JOB DESCRIPTION:\n" + "j" * 1800 + "\n\nCANDIDATE RESUME:\n" + "r" * 1800)
+    assert got[0][1].endswith("JOB DESCRIPTION:\n" + "j" * 2000 + "\n\nCANDIDATE RESUME:\n" + "r" * 1900)
+    short = rows(joins.build_prompts(df, profile(spark, "r" * 1900), max_chars=1800), "prompt")[0][0]
+    assert short.endswith("j" * 1800 + "\n\nCANDIDATE RESUME:\n" + "r" * 1800)
 
 
 def test_composite(spark):
@@ -330,6 +332,54 @@ def test_plugins(spark):
     assert dict(rows(scored, "id", "cross_encoder_score"))["1"] == pytest.approx(0.5)
 
 
+def test_pair_scores_read_whole_texts(spark):
+    late = posting(spark, ("1", "t", "c", "filler " * 500 + "python"), ("2", "t", "c", "filler " * 501))
+    got = dict(rows(plugins.pair_score(late, profile(spark, "python")), "id", "cross_encoder_score"))
+    assert got["1"] == pytest.approx(2 / 4) and got["2"] == pytest.approx(1 / 3)
+
+    def holds():
+        return lambda a, b: [5.0 if "python" in text else -5.0 for text in a]
+
+    for window in (None, 100):
+        scored = plugins.pair_score(late, profile(spark, "x"), factory=holds, window=window)
+        best = dict(rows(scored, "id", "cross_encoder_score"))
+        assert best["1"] > 0.99 and best["2"] < 0.01
+
+
+def test_hashed_vectors_equal_plain_counting(spark):
+    import hashlib
+    import re
+
+    texts = ["alpha beta alpha", "x", "Größe und größe 42 42 z", None]
+    df = posting(spark, *[(str(i), "t", "c", t) for i, t in enumerate(texts)])
+    got = dict(rows(plugins.embed_postings(df, use_prefix=False), "id", "embedding"))
+    for i, text in enumerate(texts[:3]):
+        want = [0.0] * 64
+        for term in re.findall(r"\w\w+", text.lower()):
+            digest = hashlib.md5(term.encode()).hexdigest()
+            want[int(digest[:8], 16) % 64] += 1 if digest[8] < "8" else -1
+        assert got[str(i)] == want
+
+
+def test_repeated_answers_and_vectors_repeat_no_posting(spark):
+    df = posting(spark, ("1", "t", "c", "text"), ("1", "u", "c", "text"), (None, "v", "c", "text"))
+    answers = spark.createDataFrame([("1", "SCORE: 9"), ("1", "SCORE: 4")], "id string, answer string")
+    assert sorted(rows(joins.join_responses(df, answers), "title", "llm_fit_score")) == [
+        ("t", 0.4), ("u", 0.4), ("v", 0.0)
+    ]
+    vectors = spark.createDataFrame([("1", [1.0, 0.0]), ("1", [0.0, 1.0])], "id string, embedding array<double>")
+    wanted = F.array(F.lit(1.0), F.lit(0.0))
+    scored = scoring.embedding_cosine(df, vectors, wanted)
+    assert sorted(rows(scored, "title", "semantic_score")) == [("t", 1.0), ("u", 1.0), ("v", 0.0)]
+    with pytest.raises(Exception, match="different sizes"):
+        scoring.embedding_cosine(df, vectors, F.array(F.lit(1.0))).collect()
+
+
+def test_no_profile_row_scores_zero(spark):
+    df = posting(spark, ("1", "t", "c", "python"))
+    assert rows(scoring.keyword_match(df, profile(spark, "x").limit(0)), "keyword_match_score") == [(0.0,)]
+
+
 def test_steps(spark):
     df = posting(spark, ("1", "t", "c", "python spark"), ("2", "t", "c", "cook"))
     wanted = profile(spark, "python")
