@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.views import SEARCHES, Views, duckdb_with
@@ -38,6 +40,7 @@ RULES = FilterRules(
 RULES_OFF = FilterRules(
     **{**RULES.__dict__, "disabled": frozenset({"seen", "remote", "location_exclusion"})}
 )
+WIDENING = Lookback(240, 48, 480, 30)
 LOOKBACK = Lookback(start=24, step=24, limit=168, minimum=90)
 
 
@@ -79,8 +82,8 @@ def chain_sql(names, seen: bool = True) -> str:
     return " AND ".join([*([SQL_SEEN] if seen else []), *[SQL_TESTS[n] for n in names]])
 
 
-def search_sql() -> str:
-    """Pairs of postings and searches in SQL."""
+def search_sql(wider: int = 0) -> str:
+    """Pairs of postings and searches in SQL, each search at its own window and so many hours more."""
     rows = ", ".join(
         f"({s.search_no}, {sql_text(s.search_term)}, {sql_text(s.location)}, {s.is_remote}, "
         f"{s.hours_old}, {s.results_per_source})"
@@ -92,16 +95,17 @@ searches AS (SELECT * FROM (VALUES {rows})
 hits AS (SELECT p.*, s.search_no, s.results_per_source, s.hours_old FROM postings p JOIN searches s
   ON contains(lower(p.title), s.search_term) AND contains(lower(p.location), s.location)
   AND (p.is_remote IS NULL OR p.is_remote = s.is_remote)
-  AND p.date_posted >= (SELECT max(date_posted) FROM postings) - to_hours(s.hours_old)),
+  AND p.date_posted >= (SELECT max(date_posted) FROM postings) - to_hours(s.hours_old + {wider})),
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_no
   ORDER BY date_posted DESC, id) AS rn FROM hits) WHERE rn <= results_per_source)"""
 
 
-def lookback_sql(source: str, lb: Lookback, order: str = "id") -> str:
+def lookback_sql(source: str, lb: Lookback, order: str = "id", start: str = "") -> str:
+    start = start or str(lb.start)
     last = lb.last_pass if lb.minimum > 0 else 0
     return f"""
 aged AS (SELECT *, greatest(0, CAST(ceil(((epoch_us((SELECT max(date_posted) FROM postings))
-    - epoch_us(date_posted)) / 3600000000.0 - {lb.start}) / {lb.step}) AS INT)) AS pass_no
+    - epoch_us(date_posted)) / 3600000000.0 - {start}) / {lb.step}) AS INT)) AS pass_no
   FROM {source}),
 keyed AS (SELECT *, {sql_norm('title')} AS t, {sql_norm('company')} AS c FROM aged
   WHERE pass_no <= {last}),
@@ -111,10 +115,22 @@ totals AS (SELECT k AS pass_no, (SELECT count(*) FROM firsts f WHERE f.pass_no <
   FROM range(0, {last} + 1) r(k)),
 chosen AS (SELECT coalesce(min(pass_no) FILTER (WHERE total >= {lb.minimum}), {last}) AS pass_no
   FROM totals),
-kept AS (SELECT *, CAST({lb.start} + (SELECT pass_no FROM chosen) * {lb.step} AS INT) AS hours_used FROM firsts
+kept AS (SELECT *, CAST({start} + (SELECT pass_no FROM chosen) * {lb.step} AS INT) AS hours_used FROM firsts
   WHERE pass_no <= (SELECT pass_no FROM chosen))"""
 
 
+# Postings without an id, and with ids that repeat.
+ODD_SQL = """SELECT CASE WHEN CAST(id AS INT) % 5 = 0 THEN NULL ELSE substr(id, 1, 2) END AS id, title,
+  company, date_posted FROM postings"""
+
+
+def odd_ids(v: Views):
+    number = F.col("id").cast("int")
+    return v.postings.select(
+        F.when(number % 5 != 0, F.substring("id", 1, 2)).alias("id"), "title", "company", "date_posted"
+    )
+
+
 def funnel_sql() -> str:
     names = ["seen", *SQL_TESTS]
     counts, passed = ["(SELECT count(*) FROM postings) AS n0"], []
@@ -166,7 +182,7 @@ def q_parse_link(v: Views):
 
 def q_union(v: Views):
     remote = v.postings.where("is_remote").select("id", "title", F.lit(0).alias("search_no"))
-    other = v.postings.where("NOT is_remote").select("id", "company", F.lit(1).alias("search_no"))
+    other = v.postings.where("is_remote IS NOT TRUE").select("id", "company", F.lit(1).alias("search_no"))
     return ranking.union_searches([remote, other])
 
 
@@ -202,6 +218,15 @@ STRICT_RULES = ("title_blocklist", "description_blocklist")
 INGEST_RULES = FilterRules(
     title_blocklist=TITLES_OUT, description_blocklist=CLEARANCE_KEYWORDS
 )
+# The last search has rules of its own, on top of which nothing of the common ones is left out.
+OWN_SEARCHES = [
+    *SEARCHES[:-1],
+    replace(SEARCHES[-1], rules=replace(INGEST_RULES, required_locations=("EUROPE", "asia"))),
+]
+OWN_SQL = (
+    f"(search_no <> {SEARCHES[-1].search_no} OR contains(lower(location), 'europe') "
+    "OR contains(lower(location), 'asia'))"
+)
 
 CHECKS = {
     "norm_key": (
@@ -346,8 +371,16 @@ SELECT id, rule_no, CASE rule_no {' '.join(f"WHEN {i} THEN '{t}'" for i, t in en
   FROM postings) WHERE rn = 1""",
     ),
     "unique_ids": (
-        lambda v: base(ranking.unique_ids(v.postings.union(v.postings))),
-        f"{P} SELECT id, title, company FROM postings",
+        lambda v: base(ranking.unique_ids(odd_ids(v), ("date_posted", "title"))),
+        f"""{P}, odd AS ({ODD_SQL})
+SELECT id, title, company FROM (SELECT *, row_number() OVER (PARTITION BY id
+  ORDER BY date_posted, title, company) AS rn FROM odd) WHERE rn = 1 OR id IS NULL""",
+    ),
+    "dedup_odd_ids": (
+        lambda v: ranking.dedup_reposts(odd_ids(v), ("date_posted", "id")).select("title", "company", "date_posted"),
+        f"""{P}, odd AS ({ODD_SQL})
+SELECT title, company, date_posted FROM (SELECT *, row_number() OVER (PARTITION BY {sql_norm('title')},
+  {sql_norm('company')} ORDER BY date_posted, id NULLS FIRST, title, company) AS rn FROM odd) WHERE rn = 1""",
     ),
     "adaptive_lookback": (
         lambda v: lookback.adaptive_lookback(
@@ -359,20 +392,20 @@ SELECT id, title, company, pass_no, hours_used AS hours_old FROM kept""",
     ),
     "new_postings": (
         lambda v: ingest.new_postings(
-            v.postings, SEARCHES, INGEST_RULES, v.seen, v.as_of, Lookback(240, 48, 480, 30)
+            v.postings, OWN_SEARCHES, INGEST_RULES, v.seen, v.as_of, WIDENING
         ).select(
             "id", "title", "company", "search_no", "hours_old", F.length("description").alias("n_chars")
         ),
-        f"""{PS}, {search_sql().replace('to_hours(s.hours_old)', 'INTERVAL 480 HOUR')},
-passed AS (SELECT * EXCLUDE (hours_old) FROM capped WHERE {chain_sql(STRICT_RULES)}),
-{lookback_sql('passed', Lookback(240, 48, 480, 30), 'search_no, id')}
+        f"""{PS}, {search_sql(240)},
+passed AS (SELECT * FROM capped WHERE {chain_sql(STRICT_RULES)} AND {OWN_SQL}),
+{lookback_sql('passed', WIDENING, 'search_no, id', 'hours_old')}
 SELECT id, title, company, search_no, hours_used AS hours_old,
   CAST(length(description) AS INT) AS n_chars FROM kept""",
     ),
     "union_searches": (
         q_union,
         f"""{P} SELECT id, title, 0 AS search_no, NULL::VARCHAR AS company FROM postings WHERE is_remote
-UNION ALL SELECT id, NULL, 1, company FROM postings WHERE NOT is_remote""",
+UNION ALL SELECT id, NULL, 1, company FROM postings WHERE is_remote IS NOT TRUE""",
     ),
     "union_seen": (
         lambda v: ranking.union_seen(v.seen, v.postings),

@@ -13,6 +13,7 @@ from checks.ingest_checks import (
     chain_sql,
     keyword_tables,
     search_sql,
+    sql_norm,
 )
 from checks.report_checks import E, FLAT, SCORES
 from checks.views import SEARCHES, Views
@@ -120,14 +121,21 @@ def q_write_csv(v: Views):
 
 
 def q_run_ingest(v: Views):
-    """A whole run; the state afterwards tells what was fetched."""
+    """A whole run: the rows written and, with no title, the ids of the state afterwards."""
     out, state = new_scratch(v.spark, "run"), new_scratch(v.spark, "run-seen")
     v.seen.write.parquet(state)
     table = seen.read_seen(v.spark, state)
-    run_ingest(
+    manifest = run_ingest(
         v.postings, SEARCHES, INGEST_RULES, table, v.as_of, out, state, Lookback(start=240)
+    ).first()
+    written = postings.read_run(v.spark, out, manifest.run_id).select(
+        "id", "title", "hours_old", F.md5("description").alias("text")
     )
-    return seen.read_seen(v.spark, state)
+    none = F.lit(None)
+    known = seen.read_seen(v.spark, state).select(
+        "id", none.cast("string").alias("title"), none.cast("int").alias("hours_old"), none.cast("string").alias("text")
+    )
+    return written.unionByName(known)
 
 
 CHECKS = {
@@ -165,8 +173,12 @@ md5(description) AS description FROM postings""",
     ),
     "run_ingest": (
         q_run_ingest,
-        f"""{PS}, {search_sql().replace('to_hours(s.hours_old)', 'INTERVAL 240 HOUR')}
-SELECT id FROM seen UNION SELECT id FROM capped""",
+        f"""{PS}, {search_sql()},
+passed AS (SELECT * FROM capped WHERE {chain_sql(STRICT_RULES)}),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {sql_norm('title')},
+  {sql_norm('company')} ORDER BY search_no, id) AS rn_first FROM passed) WHERE rn_first = 1)
+SELECT id, title, CAST(hours_old AS INT) AS hours_old, md5(description) AS text FROM firsts
+UNION ALL SELECT id, NULL, NULL, NULL FROM (SELECT id FROM seen UNION SELECT id FROM capped)""",
     ),
     "strip_markup": (
         lambda v: v.table("pages").select("page_id", "url", strip_markup(F.col("html")).alias("text")),

@@ -34,8 +34,20 @@ def q_new(v: Views):
 
 
 def q_new_bounded(v: Views):
-    out = S.new_by_id_bounded(stream_of(v, 2, maxFilesPerTrigger=2), "2000 hours")
-    return run(v, out).select("id", "title", "company")
+    """Both outputs; the horizon is exceeded by most of the table, which arrives newest first."""
+    columns = ("id", "title", "company", "date_posted")
+    rows = v.postings.select(*columns).withColumn("date_posted", F.col("date_posted").cast("timestamp"))
+    path = new_scratch(v.spark, "stream-in")
+    newest = F.col("date_posted") >= rows.agg(F.max("date_posted")).scalar() - F.expr("INTERVAL 100 HOURS")
+    out, late, state = (new_scratch(v.spark, f"bounded-{n}") for n in ("out", "late", "state"))
+    for part in (rows.where(newest), rows.union(rows)):
+        part.write.mode("append").parquet(path)
+        stream = S.read_posting_stream(v.spark, path, schema=rows.schema)
+        S.bounded_stream(stream, out, late, 100, state).awaitTermination()
+    read = lambda folder, name: v.spark.read.schema(rows.schema).parquet(folder).select(
+        "id", "title", "company", F.lit(name).alias("output")
+    )
+    return read(out, "new").union(read(late, "late"))
 
 
 def q_filter_score(v: Views):
@@ -49,13 +61,20 @@ def q_filter_score(v: Views):
 
 
 def q_counts(v: Views):
-    out = run(v, S.ingest_counts(stream_of(v)))
-    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    out, state = new_scratch(v.spark, "counts"), new_scratch(v.spark, "counts-state")
+    S.ingest_counts(stream_of(v, maxFilesPerTrigger=2), out, state).awaitTermination()
+    sums = S.read_counts(v.spark, out)
+    return sums.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 CHECKS = {
     "stream_new_postings": (q_new, f"{P} SELECT id, title, company FROM postings"),
-    "stream_new_postings_bounded": (q_new_bounded, f"{P} SELECT id, title, company FROM postings"),
+    "stream_new_postings_bounded": (
+        q_new_bounded,
+        f"""{P}, edge AS (SELECT max(date_posted) - INTERVAL 100 HOUR AS t FROM postings)
+SELECT id, title, company, 'new' AS output FROM postings, edge WHERE date_posted >= t
+UNION ALL SELECT id, title, company, 'late' FROM postings, edge, range(2) WHERE date_posted < t""",
+    ),
     "stream_filter_score": (
         q_filter_score,
         f"""{PP}, {KEYWORD_SQL} SELECT id, title, company, round(score, 6) AS keyword_match_score FROM (
@@ -66,8 +85,6 @@ JOIN keyword USING (id) WHERE rn = 1""",
     "stream_ingest_counts": (
         q_counts,
         f"""{P} SELECT strftime(date_trunc('day', date_posted), '%Y-%m-%d %H:%M:%S') AS window_start, company,
-count(*) AS n FROM postings GROUP BY 1, 2
-HAVING date_trunc('day', min(date_posted)) + INTERVAL 1 DAY
-  <= (SELECT max(date_posted) FROM postings) - INTERVAL 168 HOUR""",
+count(*) AS n FROM postings GROUP BY 1, 2""",
     ),
 }

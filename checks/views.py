@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,8 @@ SELECT CAST(d.doc_id AS <STR>) AS id,
       WHEN 2 THEN ' security clearance (TS/SCI)' WHEN 3 THEN ' git rest linux, 3 years'
       WHEN 4 THEN ' hybrid role' ELSE '' END) END AS description
 FROM {documents} d
-JOIN {part} p ON p.p_partkey = CAST(floor(d.doc_id / 3) AS BIGINT) % 200
+JOIN {part} p ON p.p_partkey =
+  CAST(floor(d.doc_id / 3) AS BIGINT) % (SELECT count(*) FROM {part})
 JOIN {nation} n ON n.n_nationkey = d.doc_id % 25
 JOIN {region} r ON r.r_regionkey = n.n_regionkey
 JOIN {events} e ON e.event_id = d.doc_id * 5
@@ -82,8 +82,6 @@ VIEWS = {
     "applied": APPLIED,
 }
 TABLES = ("documents", "part", "nation", "region", "events", "embeddings", "pages")
-# A file below the size of one scan split is read by one task whatever its size.
-ONE_SPLIT = 128 * 1024 * 1024
 
 
 def duckdb_with(*names: str) -> str:
@@ -108,14 +106,7 @@ class Views:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.sf_dir}/{name}.parquet"
-        df = self.spark.read.parquet(path)
-        if name in ("documents", "pages") and os.path.isfile(path):
-            # The text tables come as one small file with one row group; spread it over the
-            # tasks.  Data of many splits is read in parallel anyway and is not shuffled for it.
-            if os.path.getsize(path) < ONE_SPLIT:
-                df = df.repartition(self.spark.sparkContext.defaultParallelism)
-        return df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, name: str) -> DataFrame:
         text = VIEWS[name].replace("<STR>", "STRING")

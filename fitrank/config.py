@@ -7,22 +7,6 @@ from dataclasses import dataclass, field, replace
 from fitrank.functions.fixed_values import FILTER_NAMES
 
 
-@dataclass(frozen=True)
-class Search:
-    """One search over the posting pool.  An empty text means "no restriction"."""
-
-    search_no: int
-    search_term: str = "software engineer"
-    location: str = "United States"
-    is_remote: bool = True
-    hours_old: int = 24
-    results_per_source: int = 50
-    job_type: str = "fulltime"
-
-    def at_hours(self, hours_old: int) -> Search:
-        return replace(self, hours_old=hours_old)
-
-
 @dataclass(frozen=True)
 class FilterRules:
     """Keyword lists of the ingest filters; an empty list switches its filter off."""
@@ -43,6 +27,26 @@ class FilterRules:
             raise ValueError(f"unknown filter names {sorted(unknown)}; valid: {FILTER_NAMES}")
 
 
+@dataclass(frozen=True)
+class Search:
+    """One search over the posting pool.  An empty text means "no restriction".
+
+    ``hours_old`` is the first window of this search; ``rules`` replace the common ones for it.
+    """
+
+    search_no: int
+    search_term: str = "software engineer"
+    location: str = "United States"
+    is_remote: bool = True
+    hours_old: int = 24
+    results_per_source: int = 50
+    job_type: str = "fulltime"
+    rules: FilterRules | None = None
+
+    def at_hours(self, hours_old: int) -> Search:
+        return replace(self, hours_old=hours_old)
+
+
 @dataclass(frozen=True)
 class Lookback:
     """Widening of the time window, in hours, until ``minimum`` postings survive (0 = one pass)."""

@@ -8,22 +8,15 @@ from __future__ import annotations
 
 # The technical vocabulary that weighs 70 % in the keyword score.
 TECH_TERMS = (
-    # languages
     "python", "java", "javascript", "typescript", "golang", "rust", "scala", "kotlin", "swift",
     "ruby", "php", "csharp", "cplusplus",
-    # web
     "react", "angular", "vue", "nextjs", "html", "css", "webpack",
-    # back end
     "nodejs", "django", "fastapi", "flask", "spring", "rails",
-    # cloud and operations
     "aws", "gcp", "azure", "kubernetes", "docker", "terraform", "helm", "ansible", "jenkins",
     "github", "gitlab", "circleci",
-    # data
     "spark", "kafka", "airflow", "pytorch", "tensorflow", "sklearn", "pandas", "numpy", "dbt",
     "snowflake", "databricks",
-    # databases
     "postgresql", "mysql", "mongodb", "redis", "elasticsearch", "cassandra", "dynamodb", "sqlite",
-    # other
     "graphql", "grpc", "rest", "linux", "git",
 )
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fitrank.functions.answers import answer_rationale, answer_score, build_prompt
+from fitrank.operators.scoring import HAS_TEXT, with_text_flag
 
 
 def build_prompts(
@@ -53,14 +54,14 @@ def join_responses(
         F.col("id").alias("_id"), F.struct("answer", "error").alias("_given")
     )
     one = answers.groupBy("_id").agg(F.min("_given").alias("_given"))
-    has_text = F.when(F.coalesce(F.col("description"), F.lit("")) != "", "-").otherwise("")
-    flagged = postings.withColumn("_text", has_text)
+    flagged = with_text_flag(postings)
+    text = F.when(F.col(HAS_TEXT), "-").otherwise("")
     joined = flagged.join(one, flagged["id"] == one["_id"], "left")
-    args = (F.col("_given.answer"), F.col("_text"), F.col("_given.error"))
+    args = (F.col("_given.answer"), text, F.col("_given.error"))
     scored = joined.withColumns(
         {
             "llm_fit_score": answer_score(*args),
             "llm_fit_rationale": answer_rationale(*args, max_chars),
         }
     )
-    return scored.drop("_id", "_given", "_text")
+    return scored.select(*postings.columns, "llm_fit_score", "llm_fit_rationale")

@@ -13,67 +13,61 @@ from fitrank.functions.text import contains_any, norm_key
 from fitrank.operators.filters import posted_since, remote_matches
 
 
-def unique_ids(postings: DataFrame) -> DataFrame:
-    """One row per id, for pools that hold copies; each task sends at most one row per id."""
-    return postings.dropDuplicates(["id"])
+def unique_ids(postings: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
+    """One row per id, for pools that hold copies; rows without an id are all kept.
 
+    Of the rows of an id the first in ``order_by`` stays; rows that are equal there are ordered by
+    their other columns, so the choice does not depend on the run.  Each task sends at most one row
+    per id.
+    """
+    rest = [c for c in postings.columns if c not in order_by]
+    named = postings.where(F.col("id").isNotNull())
+    first = named.groupBy(F.col("id").alias("_id")).agg(
+        F.min(F.struct(*order_by, *rest)).alias("_first")
+    )
+    unnamed = postings.where(F.col("id").isNull())
+    return first.select("_first.*").select(postings.columns).union(unnamed)
 
-def first_per_key(
-    postings: DataFrame, order_by: Sequence[str], text_columns: Sequence[str] = ("description",)
-) -> DataFrame:
-    """First row per normalised (title, company), without the long texts.
 
-    ``order_by`` must identify a row.  The first row is an aggregate, so each task sends at most
-    one row per key into the shuffle and a key that holds most rows costs no more than any other.
+def first_per_key(postings: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """First row per normalised (title, company), whole.
+
+    Rows that are equal in ``order_by``, as with repeated or missing ids, are ordered by their other
+    columns.  The first row is an aggregate, so each task sends at most one row per key into the
+    shuffle and a key that holds most rows costs no more than any other; no row is joined back.
     """
-    slim = [c for c in postings.columns if c not in text_columns and c not in order_by]
+    rest = [c for c in postings.columns if c not in order_by]
     keys = [norm_key(F.col("title")).alias("_title"), norm_key(F.col("company")).alias("_company")]
-    first = postings.groupBy(*keys).agg(F.min(F.struct(*order_by, *slim)).alias("_first"))
+    first = postings.groupBy(*keys).agg(F.min(F.struct(*order_by, *rest)).alias("_first"))
     return first.select("_first.*")
 
 
-def join_texts(
-    rows: DataFrame,
-    postings: DataFrame,
-    order_by: Sequence[str],
-    text_columns: Sequence[str] = ("description",),
-) -> DataFrame:
-    """Add the long texts to surviving rows, by the columns that identify a row."""
-    texts = [c for c in text_columns if c in postings.columns]
-    return rows.join(postings.select(*order_by, *texts), list(order_by)) if texts else rows
-
+def dedup_reposts(postings: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """First posting per normalised (title, company) in the order given."""
+    return first_per_key(postings, order_by).select(postings.columns)
 
-def dedup_reposts(
-    postings: DataFrame,
-    order_by: Sequence[str],
-    text_columns: Sequence[str] = ("description",),
-) -> DataFrame:
-    """First posting per normalised (title, company) in the order given.
 
-    If ids may repeat, apply ``unique_ids`` first: the texts are joined back by ``order_by``.
-    """
-    first = first_per_key(postings, order_by, text_columns)
-    return join_texts(first, postings, order_by, text_columns).select(postings.columns)
+FAN_IN = 256
 
 
 def topn_per_search(
     hits: DataFrame,
     n: int | str = "results_per_source",
     largest: int | None = None,
-    groups: int | None = None,
+    fan_in: int = FAN_IN,
 ) -> DataFrame:
     """At most ``n`` newest postings per search; ``n`` may name a column of the search.
 
     ``largest`` is the greatest value of that column.  Being a constant, it lets Spark cut each
     task's rows to it before the shuffle; a constant ``n`` does so by itself.
 
-    Two stages: rows are ranked within (search, group of input partitions) and then within the
-    search.  A search that matches a third of all rows is spread over the groups, and only the
-    best of each group meet in one task.
+    Three stages rank within (search, input partition), (search, ``fan_in`` partitions) and the
+    search.  A search that matches a third of all rows is spread over the input partitions, and no
+    task merges the best rows of more than ``fan_in`` groups, up to ``fan_in`` squared partitions,
+    whatever ``n`` and the number of shuffle partitions are.
     """
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
     constant = n if isinstance(n, int) else largest
-    spread = groups or int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("date_posted").desc_nulls_last(), F.col("id")]
 
     def best(df: DataFrame, *keys: str) -> DataFrame:
@@ -83,8 +77,10 @@ def topn_per_search(
             ranked = ranked.where(F.col("_rank") <= constant)
         return ranked.where(F.col("_rank") <= limit).drop("_rank")
 
-    spread_hits = hits.withColumn("_group", F.spark_partition_id() % spread)
-    return best(best(spread_hits, "search_no", "_group").drop("_group"), "search_no")
+    spread = hits.withColumn("_group", F.spark_partition_id())
+    few = best(spread, "search_no", "_group")
+    fewer = best(few.withColumn("_group", F.floor(F.col("_group") / fan_in)), "search_no", "_group")
+    return best(fewer.drop("_group"), "search_no")
 
 
 def rank_by_score(df: DataFrame, score: str = "final_score", key: str = "id") -> DataFrame:

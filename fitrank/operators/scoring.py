@@ -107,10 +107,20 @@ def embedding_cosine(
         .groupBy("_id")
         .agg(F.max("_cosine").alias("_cosine"))
     )
-    flagged = postings.withColumn("_text", F.coalesce(F.col("description"), F.lit("")) != "")
-    value = F.when(F.col("_text"), F.coalesce(F.col("_cosine"), F.lit(0.0))).otherwise(F.lit(0.0))
+    flagged = with_text_flag(postings)
+    value = F.when(F.col(HAS_TEXT), F.coalesce(F.col("_cosine"), F.lit(0.0))).otherwise(F.lit(0.0))
     joined = flagged.join(scores, flagged["id"] == scores["_id"], "left")
-    return joined.withColumn(column, value).drop("_id", "_cosine", "_text")
+    return joined.withColumn(column, value).select(*postings.columns, column)
+
+
+HAS_TEXT = "_has_text"
+
+
+def with_text_flag(postings: DataFrame) -> DataFrame:
+    """Add whether a posting has text.  Set before the first join, it saves moving the text."""
+    if HAS_TEXT in postings.columns:
+        return postings
+    return postings.withColumn(HAS_TEXT, F.coalesce(F.col("description"), F.lit("")) != "")
 
 
 def weighted_mean(weights: Mapping[str, float]) -> Column:

@@ -66,6 +66,6 @@ def select_report_columns(
     """Wanted columns that exist, then every score column and the sort column not listed."""
     if not wanted:
         return df
-    base = [c for c in wanted if c in df.columns]
     scores = [c for c in df.columns if c.endswith(SCORE_SUFFIX) or c == sort_column]
-    return df.select([*base, *[c for c in scores if c not in base]])
+    # A dictionary keeps the first place of each name.
+    return df.select(*dict.fromkeys(c for c in (*wanted, *scores) if c in df.columns))

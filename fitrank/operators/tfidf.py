@@ -46,7 +46,7 @@ def _salt_count(docs: DataFrame) -> int:
 
     A term found in every document has one of about a hundred pairs of each document, so a
     fraction of the shuffle partitions brings its parts down to the size of an average partition.
-    The parts of a term fit into the bits of one long.
+    The parts of a term, and one of the profile, fit into the bits of one long.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(63, max(8, partitions // 64))
@@ -69,20 +69,26 @@ def tfidf_scores(
     only, by document.  The salt splits the rows of frequent terms.  Document frequencies come
     from the same shuffled pairs: counts per (term, salt), then a sum over the few salts of a
     term, which also notes in a bit set under which salts the term occurs.  The empty term, which every document carries, keeps documents without any other.
-    ``key`` must be unique and not null; the profile is the document with a null key.
+    ``key`` must be unique; documents without a key count in the corpus and get no score.  The
+    profile is marked by a flag.
 
     Scores depend on the corpus.  To score new documents like earlier ones, pass the kept table
     of ``document_frequencies`` and the size ``n_docs`` of its corpus, the profile included;
     terms that the table does not hold are left out.
     """
-    corpus = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).union(
-        profile.select(F.lit(None).cast(docs.schema[key].dataType), "text")
-    )
+    # The profile has no key and a salt of its own, by which it differs from documents without a key.
     parts = _salt_count(docs)
-    salt = F.coalesce(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int"), F.lit(0))
+    # Never null, also for Spark, or a join by it would add a null test to one of the branches.
+    salt = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(parts)).cast("int")
+    salt = F.coalesce(salt, F.lit(0))
+    corpus = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), salt.alias("salt")).union(
+        profile.select(F.lit(None).cast(docs.schema[key].dataType), "text", F.lit(parts))
+    )
+    is_profile = F.col("doc").isNull() & (F.col("salt") == parts)
+    unnamed = F.col("doc").isNull() & (F.col("salt") != parts)
     term = F.col("term")
     pairs = (
-        corpus.select("doc", salt.alias("salt"), F.inline(term_counts(F.col("text"))))
+        corpus.select("doc", "salt", F.inline(term_counts(F.col("text"))))
         .where(term.isNotNull() & ((term == "") | is_scored_term(term, stop_words)))
         .repartition("term", "salt")
     )
@@ -91,7 +97,7 @@ def tfidf_scores(
     # their shuffle once and reuses it.
     counts = pairs.groupBy("term", "salt").agg(
         F.count("tf").alias("df_part"),
-        F.sum(F.when(F.col("doc").isNull(), F.col("tf"))).alias("profile_part"),
+        F.sum(F.when(is_profile, F.col("tf"))).alias("profile_part"),
     )
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("salt"))
     terms = counts.groupBy("term").agg(
@@ -103,7 +109,7 @@ def tfidf_scores(
         terms = terms.drop("df").join(frequencies.select("term", "df"), "term", "left")
     # One row per salt under which a term occurs, as many as the counts had.
     salts = F.filter(
-        F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.getbit(F.col("salts"), i) == 1
+        F.sequence(F.lit(0), F.lit(parts)), lambda i: F.getbit(F.col("salts"), i) == 1
     )
     salted_terms = terms.select("term", F.explode(salts).alias("salt"), "df", "profile_tf")
 
@@ -112,11 +118,17 @@ def tfidf_scores(
     # step, where it is the number of documents that come out of this very aggregation.
     g = F.lit(1.0) - F.ln(F.lit(1.0) + F.coalesce(F.col("df"), F.lit(0)))
     counts_in = (F.col("term") != "") & F.col("df").isNotNull()
-    tf = F.when(counts_in, F.col("tf").cast("double")).otherwise(F.lit(0.0))
+    tf = F.when(counts_in & ~unnamed, F.col("tf").cast("double")).otherwise(F.lit(0.0))
     wanted = F.coalesce(F.col("profile_tf"), F.lit(0)).cast("double")
     sums = (
         pairs.join(salted_terms.hint("shuffle_hash"), ["term", "salt"])
-        .select("doc", (tf * tf).alias("x"), (tf * wanted).alias("y"), g.alias("g"))
+        .select(
+            "doc",
+            (F.col("term") == "").cast("int").alias("one"),
+            (tf * tf).alias("x"),
+            (tf * wanted).alias("y"),
+            g.alias("g"),
+        )
         .groupBy("doc")
         .agg(
             *[
@@ -125,6 +137,7 @@ def tfidf_scores(
                 for i, power in enumerate((F.lit(1.0), F.col("g"), F.col("g") * F.col("g")))
             ],
             F.count("doc").alias("n"),
+            F.sum("one").alias("rows"),
         )
     )
 
@@ -134,11 +147,12 @@ def tfidf_scores(
     # The profile's own row: there x and y are the same.  Reading both, like the rows below do,
     # lets Spark reuse the shuffle by document.
     log_n = F.ln(F.lit(1.0) + F.col("n_docs"))
-    corpus_size = F.count(F.lit(1)) if n_docs is None else F.max(n_docs)
+    corpus_size = F.sum("rows") if n_docs is None else F.max(n_docs)
+    figures = [c for c in sums.columns if c not in ("doc", "n", "rows")]
     stats = (
         sums.agg(
             corpus_size.alias("n_docs"),
-            *[F.max(F.when(F.col("n") == 0, F.col(c))).alias(c) for c in sums.columns[1:-1]],
+            *[F.max(F.when(F.col("n") == 0, F.col(c))).alias(c) for c in figures],
         )
         .select(
             F.struct(
@@ -153,7 +167,7 @@ def tfidf_scores(
     log_n = F.col("stats.log_n")
     length = F.sqrt(total("x", log_n)) * F.col("stats.profile_length")
     score = F.try_divide(total("y", log_n), length)
-    # The key is null for the profile only, which is gone.  Said to Spark in this way, a later join
+    # Rows without a key are gone.  Said to Spark in this way, a later join
     # by key does not push a null test into one of the branches and so undo the shared shuffle.
     doc = F.coalesce(F.col("doc"), F.lit("0").cast(docs.schema[key].dataType))
     return finished.select(doc.alias(key), F.coalesce(score, F.lit(0.0)).alias("score"))

@@ -12,10 +12,13 @@ from fitrank.config import FilterRules, Lookback, Search
 from fitrank.operators.filters import filter_seen, row_predicates
 from fitrank.operators.lookback import chosen_pass, with_pass, within_chosen
 from fitrank.operators.ranking import first_per_key, join_searches, topn_per_search
+from fitrank.functions.text import norm_key
 from fitrank.session import new_scratch
 from fitrank.sources.postings import write_postings
 from fitrank.sources.seen import write_seen
 
+TEXT_KEY = "_text_key"
+
 
 def fetch(
     pool: DataFrame,
@@ -26,29 +29,56 @@ def fetch(
 ) -> DataFrame:
     """What the searches return, as narrow rows: the newest matches of each search.
 
-    The texts are tested at the scan and only the outcome ``passes`` moves on.  The cap per search
-    comes before the filters, as a search returns its newest matches whatever is done with them.
-    A cap on the widest window also holds the capped results of every narrower one.
+    Every search starts at its own window (``hours_old``) and widens by the steps of ``lookback``; it
+    is tested by its own rules if it has some.  The texts are tested at the scan and only the outcome
+    ``passes`` moves on, with a hash that finds the text again.  The cap per search comes before the
+    filters, as a search returns its newest matches whatever is done with them.  A cap on the widest
+    window also holds the capped results of every narrower one.
     """
     steps = lookback.last_pass if lookback.minimum > 0 else 0
-    widest = lookback.start + steps * lookback.step
-    hits = join_searches(pool, [s.at_hours(widest) for s in searches], as_of)
-    tests = reduce(Column.__and__, row_predicates(rules).values(), F.lit(True))
-    narrow = hits.withColumn("passes", tests).drop("description")
+    widest = [s.at_hours(s.hours_old + steps * lookback.step) for s in searches]
+    hits = join_searches(pool, widest, as_of)
+
+    def tests(own: FilterRules) -> Column:
+        return reduce(Column.__and__, row_predicates(own).values(), F.lit(True))
+
+    passes = tests(rules)
+    for s in searches:
+        if s.rules:
+            passes = F.when(F.col("search_no") == s.search_no, tests(s.rules)).otherwise(passes)
+    narrow = hits.withColumn("passes", passes)
+    if "description" in pool.columns:
+        narrow = narrow.withColumn(TEXT_KEY, F.xxhash64("description")).drop("description")
     largest = max(s.results_per_source for s in searches)
-    return with_pass(topn_per_search(narrow, largest=largest), as_of, lookback)
+    starts = F.create_map(*[F.lit(x) for s in searches for x in (s.search_no, s.hours_old)])
+    capped = topn_per_search(narrow, largest=largest)
+    own = capped.withColumn("start_hours", F.element_at(starts, F.col("search_no")))
+    return with_pass(own, as_of, lookback, F.col("start_hours"))
 
 
 def fresh_rows(fetched: DataFrame, seen: DataFrame, rules: FilterRules) -> DataFrame:
+    """Rows that pass all tests; whether seen ids count is a matter of the common rules."""
     passed = fetched.where("passes").drop("passes")
     return passed if "seen" in rules.disabled else filter_seen(passed, seen)
 
 
 def with_text(kept: DataFrame, pool: DataFrame) -> DataFrame:
-    """Join the description to the survivors; ``id`` is unique in the pool."""
+    """Join the description to the survivors.
+
+    A row is found again by its id, which may be missing or repeated, and the hash of its text.  Both
+    are in the pool, so the join is an inner one and Spark may send the few survivors to the pool
+    instead of moving its texts.  Survivors are unique by title and company; equal rows of the pool
+    that both answer to one are made one again.
+    """
     if "description" not in pool.columns:
         return kept
-    return kept.join(pool.select("id", "description"), "id", "left")
+    texts = pool.select(
+        F.col("id").alias("_id"), F.xxhash64("description").alias("_text"), "description"
+    )
+    same = kept["id"].eqNullSafe(texts["_id"]) & (kept[TEXT_KEY] == texts["_text"])
+    keys = {"_title": norm_key(F.col("title")), "_company": norm_key(F.col("company"))}
+    joined = kept.join(texts, same).withColumns(keys).dropDuplicates(list(keys))
+    return joined.drop("_id", "_text", TEXT_KEY, *keys)
 
 
 def new_postings(

@@ -11,7 +11,13 @@ from fitrank.functions.fixed_values import REPORT_COLUMNS
 from fitrank.operators.joins import join_responses
 from fitrank.operators.plugins import embed_postings, pair_score, profile_vector
 from fitrank.operators.ranking import rank_by_score
-from fitrank.operators.scoring import composite_score, embedding_cosine, keyword_match
+from fitrank.operators.scoring import (
+    HAS_TEXT,
+    composite_score,
+    embedding_cosine,
+    keyword_match,
+    with_text_flag,
+)
 from fitrank.operators.shaping import make_job_link, select_report_columns
 from fitrank.operators.tfidf import tfidf_cosine
 
@@ -62,14 +68,20 @@ def apply_steps(
     steps: Sequence[ScoreStep] = DEFAULT_STEPS,
     inputs: Mapping[str, dict] | None = None,
 ) -> DataFrame:
-    """Run the enabled steps in order; ``inputs`` adds tables and plug-ins to a step's options."""
+    """Run the enabled steps in order; ``inputs`` adds tables and plug-ins to a step's options.
+
+    Steps that only ask whether there is text find a flag set before the first join, so the text
+    moves only if a later step or the caller reads it.
+    """
+    if "description" in postings.columns:
+        postings = with_text_flag(postings)
     for step in steps:
         if step.enabled:
             if step.name not in STEPS:
                 raise ValueError(f"unknown step {step.name!r}; valid: {sorted(STEPS)}")
             options = {**step.options, **(inputs or {}).get(step.name, {})}
             postings = postings.transform(STEPS[step.name], profile, options)
-    return postings
+    return postings.drop(HAS_TEXT)
 
 
 def score_postings(
@@ -78,14 +90,22 @@ def score_postings(
     steps: Sequence[ScoreStep] = DEFAULT_STEPS,
     inputs: Mapping[str, dict] | None = None,
     columns: Sequence[str] = REPORT_COLUMNS,
+    final_column: str = "final_score",
+    combine: bool = True,
 ) -> DataFrame:
     """The ranked report: all scores, their weighted mean, best first.
 
+    ``final_column`` names the mean; without ``combine`` there is none and the rows are not ordered.
+
     The joins of the steps are all by posting id, so the postings are shuffled once for them.
     """
-    scored = composite_score(apply_steps(postings, profile, steps, inputs), steps)
+    scored = apply_steps(postings, profile, steps, inputs)
+    if combine:
+        scored = composite_score(scored, steps, final_column)
     if "job_link" not in scored.columns and {"title", "job_url"} <= set(scored.columns):
         scored = make_job_link(scored)
-    if "final_score" in scored.columns:
-        scored = rank_by_score(scored)
-    return select_report_columns(scored, columns)
+    if final_column in scored.columns:
+        scored = rank_by_score(scored, final_column)
+    if final_column != "final_score":
+        columns = [final_column if c == "final_score" else c for c in columns]
+    return select_report_columns(scored, columns, final_column)

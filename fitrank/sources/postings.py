@@ -41,25 +41,31 @@ def write_postings(
 
     The manifest comes last and so marks a complete run.  Its figures are read from the written
     rows and not from a second evaluation of the plan.  If rows tell the window they were found
-    with (``hours_old``), the criteria show that one.
+    with (``hours_old``), the criteria show by how much the windows were widened in the end.
+
+    A run that is written again with the same ``run_id`` replaces its own rows and manifest and
+    touches no other run, so a repeated run leaves the same result.
     """
     spark = postings.sparkSession
     run = run_id or uuid.uuid4().hex
-    rows = f"{path}/jobs"
-    postings.withColumns({"run_date": F.current_date(), "run_id": F.lit(run)}).write.mode(
-        "append"
-    ).partitionBy("run_date", "run_id").format(form).save(rows)
-
-    written = T.StructType(
-        [*postings.schema.fields, T.StructField("run_date", T.DateType())]
-    ).add("run_id", "string")
-    mine = spark.read.schema(written).format(form).load(rows).where(F.col("run_id") == run)
-    used = F.max("hours_old") if "hours_old" in postings.columns else F.lit(None).cast("int")
-    figures = mine.agg(F.count(F.lit(1)).alias("total_new_jobs"), used.alias("_hours"))
+    rows = f"{path}/jobs/run_id={run}"
+    dated = postings.withColumn("run_date", F.current_date())
+    dated.write.mode("overwrite").format(form).save(rows)
+
+    # Without a row there may be no file to take the schema from.
+    mine = spark.read.schema(dated.schema).format(form).load(rows)
+    wider = F.lit(None).cast("int")
+    if "hours_old" in postings.columns:
+        start = F.lit(searches[0].hours_old)
+        if "search_no" in postings.columns:
+            own = F.create_map(*[F.lit(x) for s in searches for x in (s.search_no, s.hours_old)])
+            start = F.element_at(own, F.col("search_no"))
+        wider = F.max(F.col("hours_old") - start)
+    figures = mine.agg(F.count(F.lit(1)).alias("total_new_jobs"), wider.alias("_wider"))
 
     def criteria(s: Search):
         values = [F.lit(getattr(s, f.name)).cast(f.dataType).alias(f.name) for f in CRITERIA.fields]
-        hours = F.coalesce(F.col("_hours"), F.lit(s.hours_old)).cast("int")
+        hours = (F.lit(s.hours_old) + F.coalesce("_wider", F.lit(0))).cast("int")
         return F.struct(*values).withField("hours_old", hours)
 
     manifest = figures.select(
@@ -70,15 +76,17 @@ def write_postings(
         F.array(*[criteria(s) for s in searches]).alias("search_criteria"),
         "total_new_jobs",
     )
-    manifest.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/run_id={run}")
     return read_manifest(spark, path).where(F.col("run_id") == run)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each complete run."""
     return spark.read.schema(MANIFEST).json(f"{path}/manifest")
 
 
 def read_run(spark: SparkSession, path: str, run_id: str, form: str = "parquet") -> DataFrame:
-    """Rows of one complete run."""
-    rows = spark.read.format(form).load(f"{path}/jobs")
-    return rows.where(F.col("run_id") == run_id).drop("run_date", "run_id")
+    """Rows of one complete run; a run without a manifest was broken off and is an error."""
+    if read_manifest(spark, path).where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"there is no complete run {run_id!r}")
+    return spark.read.format(form).load(f"{path}/jobs/run_id={run_id}").drop("run_date")

@@ -12,13 +12,20 @@ SEEN_SCHEMA = "id string"
 def import_seen(spark: SparkSession, path: str) -> DataFrame:
     """Ids of JSON files that hold an array of texts.
 
-    Malformed content is an error and not an empty set.
+    Malformed content is an error and not an empty set.  Each file is one row of one task and so
+    limited to 2 GB; ``import_seen_lines`` takes any size.
     """
     ids = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
     files = spark.read.text(path, wholetext=True)
     return files.select(F.explode(ids).alias("id")).distinct()
 
 
+def import_seen_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of text files with one id per line, which many tasks read at once."""
+    lines = spark.read.text(path).select(F.trim("value").alias("id"))
+    return lines.where(F.col("id") != "").distinct()
+
+
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
     """The seen table; before the first run it is empty."""
     try:

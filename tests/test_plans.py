@@ -10,6 +10,7 @@ from checks import scoring_checks
 from checks.views import Views
 from fitrank.config import FilterRules
 from fitrank.operators import filters, ranking, scoring, tfidf
+from fitrank.plans import ingest
 from fitrank.plans.scoring import score_postings
 
 SF = "/root/testdata/sf0.001"
@@ -75,8 +76,36 @@ def test_dedup_sends_one_row_per_key_and_task(stored):
 def test_topn_cuts_before_each_shuffle(stored):
     hits = stored.postings.withColumn("search_no", F.crc32("title"))
     text = plan(ranking.topn_per_search(hits, 5))
-    assert text.count("WindowGroupLimit") == 4
-    assert text.count("Exchange hashpartitioning") == 2
+    assert text.count("WindowGroupLimit") == 6
+    assert text.count("Exchange hashpartitioning") == 3
+    # Beyond the limit up to which Spark cuts before a shuffle, the stages stay the same.
+    assert plan(ranking.topn_per_search(hits, 5000)).count("Exchange hashpartitioning") == 3
+
+
+def shuffled_columns(df):
+    """The columns that each shuffle of a plan carries."""
+    explain = df.sparkSession._jvm.PythonSQLUtils.explainString
+    text = explain(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\(\d+\) Exchange[^\n]*\n(?:Input \[\d+\]: )(\[[^\n]*\])", text)
+
+
+def test_no_text_in_the_shuffles_of_a_narrow_report(spark, stored):
+    inputs = {
+        "semantic_score": {"vectors": stored.vectors, "profile_vector": stored.profile_vector},
+        "llm_fit_score": {"responses": stored.responses},
+    }
+    with no_broadcast(spark):
+        ranked = score_postings(stored.postings, stored.profile, inputs=inputs, columns=("id", "title"))
+        carried = shuffled_columns(ranked)
+    assert len(carried) > 4 and not any("description" in columns for columns in carried)
+
+
+def test_few_survivors_do_not_move_the_texts_of_the_pool(spark, stored):
+    few = spark.createDataFrame([("3", 1)], "id string, _text_key bigint")
+    few = few.withColumns({"title": F.lit("t"), "company": F.lit("c")})
+    text = plan(ingest.with_text(few, stored.postings))
+    assert "BroadcastHashJoin" in text or "BuildLeft" in text
+    assert "SortMergeJoin" not in text
 
 
 def executed_plan(df):
@@ -117,7 +146,7 @@ def test_postings_are_shuffled_once_for_all_scores(spark, stored):
         ranked = score_postings(stored.postings, stored.profile, inputs=inputs)
         text = plan(ranked)
         assert len(pair_shuffles(ranked)) == 1
-    joins = re.findall(r"SortMergeJoin \[(id#\d+)\], \[id#\d+\], LeftOuter", text)
+    joins = re.findall(r"SortMergeJoin \[(id#\d+)\], \[_?id#\d+\], LeftOuter", text)
     assert len(joins) == 3 and len(set(joins)) == 1
     assert text.count(f"Exchange hashpartitioning({joins[0]}, ") == 1
     assert not re.search("CartesianProduct|BroadcastNestedLoop", text)

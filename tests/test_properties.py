@@ -92,8 +92,8 @@ def test_topn_equals_brute_force(spark, n):
         by_search.setdefault(r.search_no, []).append((-r.date_posted.timestamp(), r.id))
     want = sorted(i for rows in by_search.values() for _, i in sorted(rows)[:n])
     for limit in ({"n": n}, {"largest": n}, {}):
-        for groups in (1, 3, None):
-            got = ranking.topn_per_search(hits, groups=groups, **limit).collect()
+        for fan_in in (1, 2, 256):
+            got = ranking.topn_per_search(hits.repartition(6), fan_in=fan_in, **limit).collect()
             assert sorted(r.id for r in got) == want
 
 

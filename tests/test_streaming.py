@@ -97,10 +97,51 @@ def test_repeated_batch_leaves_the_same(spark, tmp_path):
     assert ids(spark, seen) == ["1", "2", "3"]
 
 
+def test_new_checkpoint_over_old_folders_keeps_everything(spark, tmp_path):
+    src, out, seen = (str(tmp_path / n) for n in ("in", "out", "seen"))
+    profile = spark.createDataFrame([("python",)], "text string")
+    known = spark.createDataFrame([("7",)], "id string")
+
+    def run(state):
+        S.filter_score_stream(
+            stream(spark, src), profile, FilterRules(), out, seen, str(tmp_path / state), known=known
+        ).awaitTermination()
+
+    add(spark, src, ("1", "a", 1), ("7", "z", 1))
+    run("first")
+    add(spark, src, ("2", "b", 1))
+    run("second")
+    assert ids(spark, out) == ["1", "2"]
+    assert ids(spark, seen) == ["1", "2"]
+
+
+def test_rows_without_id_are_kept(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    add(spark, src, (None, "a", 5), (None, "b", 5), ("1", "c", 5), ("1", "c", 5))
+    S.write_stream(S.new_by_id(stream(spark, src)), out, state).awaitTermination()
+    titles = sorted(r.title for r in spark.read.parquet(out).collect())
+    assert titles == ["a", "b", "c"]
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    src, out, late, state = (str(tmp_path / n) for n in ("in", "out", "late", "state"))
+
+    def run():
+        S.bounded_stream(stream(spark, src), out, late, 24, state).awaitTermination()
+
+    add(spark, src, ("1", "a", 5), ("1", "a", 5))
+    run()
+    add(spark, src, ("1", "a", 5), ("2", "b", 28), ("3", "c", 30), ("4", "d", 1))
+    run()
+    assert ids(spark, out) == ["1", "2", "4"] and ids(spark, late) == ["3"]
+
+
 def test_counts_per_window(spark, tmp_path):
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    add(spark, src, ("1", "a", 71), ("2", "b", 70), ("3", "c", 40), ("4", "d", 1))
-    counts = S.ingest_counts(stream(spark, src), late="20 hours")
-    S.write_stream(counts, out, state).awaitTermination()
-    got = {(r.window_start.day, r.n) for r in spark.read.parquet(out).collect()}
-    assert got == {(28, 2), (29, 1)}
+    for items in ([("1", "a", 71), ("2", "b", 70), ("3", "c", 40)], [("4", "d", 1), ("5", "late", 900)]):
+        add(spark, src, *items)
+        S.ingest_counts(stream(spark, src), out, state).awaitTermination()
+    got = sorted((r.window_start.day, r.n) for r in S.read_counts(spark, out).collect())
+    assert got == [(24, 1), (28, 2), (29, 1), (30, 1)]
+    S.count_batches(out, 24, S.stream_key(state))(spark.read.parquet(src).limit(0), 0)
+    assert S.read_counts(spark, out).agg(F.sum("n")).first()[0] == 2
