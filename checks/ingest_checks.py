@@ -209,6 +209,20 @@ def q_company_table(v: Views):
     )
 
 
+def q_tables(v: Views):
+    def named(name, table, condition, column):
+        chosen = v.spark.read.parquet(f"{v.sf_dir}/{table}.parquet").where(condition)
+        return chosen.select(F.lit(name).alias("list_name"), F.col(column).alias("keyword"))
+
+    lists = (
+        named("excluded_locations", "nation", "n_regionkey = 0", "n_name")
+        .union(named("required_locations", "region", "r_regionkey < 3", "r_name"))
+        .union(named("company_blocklist", "documents", "doc_id % 100 = 7", "source"))
+        .union(v.spark.sql("SELECT 'title_blocklist', 'STAFF' UNION ALL SELECT 'description_allowlist', NULL"))
+    )
+    return base(filters.filter_by_tables(v.postings, lists))
+
+
 def hits(v: Views):
     return ranking.join_searches(v.postings, SEARCHES, v.as_of)
 
@@ -401,6 +415,23 @@ passed AS (SELECT * FROM capped WHERE {chain_sql(STRICT_RULES)} AND {OWN_SQL}),
 {lookback_sql('passed', WIDENING, 'search_no, id', 'hours_old')}
 SELECT id, title, company, search_no, hours_used AS hours_old,
   CAST(length(description) AS INT) AS n_chars FROM kept""",
+    ),
+    "filter_by_tables": (
+        q_tables,
+        f"""{P}, lists AS (SELECT 'excluded_locations' AS list_name, n_name AS keyword FROM nation
+    WHERE n_regionkey = 0 UNION ALL SELECT 'required_locations', r_name FROM region WHERE r_regionkey < 3
+  UNION ALL SELECT 'company_blocklist', source FROM documents WHERE doc_id % 100 = 7
+  UNION ALL SELECT 'title_blocklist', 'STAFF' UNION ALL SELECT 'description_allowlist', NULL)
+SELECT id, title, company FROM postings p WHERE {sql_norm('company')} NOT IN (SELECT lower(keyword) FROM lists
+    WHERE list_name = 'company_blocklist')
+  AND NOT EXISTS (SELECT 1 FROM lists WHERE list_name = 'excluded_locations' AND contains(lower(p.location), lower(keyword)))
+  AND EXISTS (SELECT 1 FROM lists WHERE list_name = 'required_locations' AND contains(lower(p.location), lower(keyword)))
+  AND NOT contains(lower(p.title), 'staff')""",
+    ),
+    "ingest_funnel": (
+        lambda v: ingest.ingest_funnel(v.postings, SEARCHES, RULES, v.seen, v.as_of),
+        f"""{PS}, {search_sql()}, all_postings AS (SELECT * FROM capped),
+{funnel_sql().removeprefix(f"{PS}, ").replace('FROM postings', 'FROM all_postings')}""",
     ),
     "union_searches": (
         q_union,

@@ -16,14 +16,14 @@ from checks.ingest_checks import (
     sql_norm,
 )
 from checks.report_checks import E, FLAT, SCORES
-from checks.views import SEARCHES, Views
+from checks.views import SEARCHES, Views, duckdb_with
 from fitrank.config import Lookback
 from fitrank.functions.text import strip_markup
 from fitrank.operators import filters
 from fitrank.operators.report import TEXT_PATHS, flatten_evaluations
 from fitrank.plans.ingest import run_ingest
 from fitrank.session import new_scratch
-from fitrank.sources import blocklists, evaluations, postings, report_csv, seen
+from fitrank.sources import blocklists, evaluations, postings, profiles, report_csv, seen
 
 # Rows per written envelope or list file; the number of files grows with the table.
 FILE_ROWS = 500
@@ -138,7 +138,20 @@ def q_run_ingest(v: Views):
     return written.unionByName(known)
 
 
+def q_read_profile(v: Views):
+    """A Markdown file with the profile of the tables."""
+    path = new_scratch(v.spark, "profile")
+    marked = F.concat(F.lit("# Profile\n\n- **see** [my page](https://example.com/x)\n\n"), "text")
+    v.profile.select(marked.alias("value")).write.text(path)
+    return profiles.read_profile(v.spark, f"{path}/*.txt")
+
+
 CHECKS = {
+    "read_profile": (
+        q_read_profile,
+        f"""{duckdb_with("profile")} SELECT trim(regexp_replace('Profile see my page ' || text, '\\s+', ' ', 'g'))
+AS text FROM profile""",
+    ),
     "read_postings": (
         q_read_postings,
         f"""{P} SELECT id, title, company, is_remote, CAST(length(description) AS INT) AS n_chars,

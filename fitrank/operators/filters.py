@@ -127,6 +127,50 @@ def filter_chain(postings: DataFrame, rules: FilterRules, seen: DataFrame | None
     return kept
 
 
+# Longest keyword list of a table, in entries, that is sent to every task.
+WORDS_LIMIT = 10_000
+# Lists by name: the column they test and whether a hit lets a posting pass.
+TABLE_LISTS = {
+    "title_blocklist": ("title", False),
+    "title_allowlist": ("title", True),
+    "required_locations": ("location", True),
+    "excluded_locations": ("location", False),
+    "description_blocklist": ("description", False),
+    "description_allowlist": ("description", True),
+}
+
+
+def held_in(text: Column, words: Column) -> Column:
+    """Whether a text holds at least one word of an array."""
+    return F.exists(words, lambda word: text.contains(word))
+
+
+def filter_by_tables(postings: DataFrame, lists: DataFrame) -> DataFrame:
+    """The keyword filters with their lists as a table (``list_name``, ``keyword``).
+
+    Nothing is collected: the words of a list are one array that a subquery gives to the scan, and
+    its length is checked there.  An empty list lets all pass; empty keywords, and lists for a
+    column that the postings don't have, are left out.  The company list is matched exactly by a join and may have any length.
+    """
+    keyword = F.lower(F.trim("keyword"))
+    for name, (column, passes) in TABLE_LISTS.items():
+        if column not in postings.columns:
+            continue
+        own = lists.where((F.col("list_name") == name) & (keyword != ""))
+        word = keyword if column == "location" else F.lower("keyword")
+        words = F.collect_set(word)
+        checked = F.when(F.size(words) <= WORDS_LIMIT, words).otherwise(
+            F.raise_error(F.lit(f"{name} has more than {WORDS_LIMIT} keywords"))
+        )
+        text = norm_key(F.col(column)) if column == "location" else F.coalesce(F.lower(column), F.lit(""))
+        # A subquery may not stand inside an array function, so it becomes a column first.
+        given = postings.withColumn("_words", own.agg(checked.alias("words")).scalar())
+        hit = held_in(text, F.col("_words"))
+        keep = (F.size("_words") == 0) | hit if passes else ~hit
+        postings = given.where(keep).drop("_words")
+    return filter_company_blocklist(postings, lists.where(F.col("list_name") == "company_blocklist"))
+
+
 def filter_funnel(postings: DataFrame, rules: FilterRules, seen: DataFrame) -> DataFrame:
     """Rows before and after each filter and the final repost removal, in one pass.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitrank.config import FilterRules, Lookback, Search
-from fitrank.operators.filters import filter_seen, row_predicates
+from fitrank.operators.filters import filter_funnel, filter_seen, row_predicates
 from fitrank.operators.lookback import chosen_pass, with_pass, within_chosen
 from fitrank.operators.ranking import first_per_key, join_searches, topn_per_search
 from fitrank.functions.text import norm_key
@@ -96,6 +96,24 @@ def new_postings(
     return with_text(kept, pool)
 
 
+def ingest_funnel(
+    pool: DataFrame,
+    searches: Sequence[Search],
+    rules: FilterRules,
+    seen: DataFrame,
+    as_of: Column,
+) -> DataFrame:
+    """Rows before and after each filter for what the searches return; nothing is written.
+
+    With ``new_postings`` and ``preview`` this is the dry run of ``run_ingest`` in its first window.
+    Rules of single searches are not counted.
+    """
+    hits = join_searches(pool, searches, as_of)
+    largest = max(s.results_per_source for s in searches)
+    capped = topn_per_search(hits, largest=largest)
+    return filter_funnel(capped, rules, seen)
+
+
 def run_ingest(
     pool: DataFrame,
     searches: Sequence[Search],

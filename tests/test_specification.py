@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 from fitrank.config import FilterRules, Lookback, ScoreStep, Search
 from fitrank.functions import fixed_values, labels
 from fitrank.functions import text as TX
-from fitrank.operators import filters, joins, plugins, ranking, report, rules, scoring, shaping
+from fitrank.operators import (
+    filters,
+    joins,
+    plugins,
+    ranking,
+    report,
+    rules,
+    scoring,
+    shaping,
+    tfidf,
+)
 from fitrank.plans import ingest
 from fitrank.plans.scoring import STEPS, apply_steps, register_step, score_postings
 from fitrank.sources import blocklists, evaluations, postings, seen
@@ -404,3 +414,38 @@ def test_unions(spark):
     assert ranking.union_searches([a, b]).columns == ["id", "a", "b"]
     mixed = spark.createDataFrame([("1", None, 1.0)], "a string, b string, c double")
     assert shaping.drop_all_null_columns(mixed).columns == ["a", "c"]
+
+
+def test_filters_by_tables(spark):
+    df = posting(spark, ("1", "Staff dev", "Acme", "x"), ("2", "dev", " ACME ", "python"), ("3", "dev", "other", None))
+    lists = lambda *rows_: spark.createDataFrame(rows_, "list_name string, keyword string")
+    got = lambda *rows_: sorted(r.id for r in filters.filter_by_tables(df, lists(*rows_)).collect())
+    assert got(("other", "x")) == ["1", "2", "3"]
+    assert got(("title_blocklist", "STAFF"), ("title_blocklist", ""), ("title_blocklist", None)) == ["2", "3"]
+    assert got(("company_blocklist", "acme")) == ["3"]
+    assert got(("description_allowlist", "Python")) == ["2"]
+
+
+def test_a_run_written_twice_is_one_run(spark, tmp_path):
+    df = posting(spark, ("1", "t", "c", "x"), ("2", "u", "c", "x"))
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        manifest = postings.write_postings(df, out, [Search(0)], run_id="r")
+    postings.write_postings(df.limit(1), out, [Search(0)], run_id="other")
+    assert manifest.count() == 1 and manifest.first().total_new_jobs == 2
+    assert postings.read_run(spark, out, "r").count() == 2
+    assert postings.read_manifest(spark, out).count() == 2
+    with pytest.raises(ValueError, match="no complete run"):
+        postings.read_run(spark, out, "broken off")
+
+
+def test_seen_ids_by_line(spark, tmp_path):
+    (tmp_path / "ids").write_text("b\n a \n\na\n")
+    assert sorted(rows(seen.import_seen_lines(spark, str(tmp_path / "ids")), "id")) == [("a",), ("b",)]
+
+
+def test_odd_ids_lose_and_repeat_no_row(spark):
+    df = posting(spark, ("1", "a", "c", "x"), ("1", "b", "c", "y"), (None, "d", "c", "z"), (None, "e", "c", None))
+    assert ranking.dedup_reposts(df, ("id",)).count() == 4
+    assert sorted(rows(ranking.unique_ids(df, ("title",)), "title")) == [("a",), ("d",), ("e",)]
+    assert tfidf.tfidf_cosine(df, profile(spark, "x y z word")).count() >= 4
