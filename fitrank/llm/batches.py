@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20  # text bytes that a task handles at once; a longer single text is one slice
 
 
 def text_slices(
-    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, *others: str
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Row slices of about ``limit`` text bytes, each with its texts; a null text is empty.
 
-    Every row is in exactly one slice, whole, so memory is bounded by the limit plus the longest text.
+    Texts in ``others`` count too.  Every row is in exactly one slice, whole, so memory is bounded by
+    the limit plus the longest row.
     """
     for batch in batches:
-        texts = batch.column(column)
+        lengths = sum(
+            pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+            for name in (column, *others)
+        )
         start, size = 0, 0
-        for row in range(batch.num_rows):
-            size += len(texts[row].as_buffer() or b"") if texts[row].is_valid else 0
+        for row, length in enumerate(lengths.tolist()):
+            size += length
             if size >= limit or row == batch.num_rows - 1:
                 part = batch.slice(start, row + 1 - start)
                 yield part, [text or "" for text in part.column(column).to_pylist()]

@@ -50,7 +50,7 @@ class Shingler:
             "\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32
         )
         if len(points) > len(self.powers):
-            self.grow(max(len(points), 1 << 20))
+            self.grow(len(points) * 5 // 4)
         inside = self.in_word[points]
         change = np.diff(inside, prepend=False, append=False)
         edges = np.flatnonzero(change)

@@ -45,7 +45,7 @@ COMMON = 0.01
 FLOOR = 0.9
 BANDS, ROWS = 14, 4
 PARTNERS = 8
-SLICE = 3 << 20
+SLICE = 3 << 19
 BLOCK = 1 << 15  # shingles sampled at once, so that the arrays stay in the processor's cache
 
 Common = tuple[np.ndarray, np.ndarray]  # hashes of common shingles, sorted, and their idf
@@ -307,13 +307,9 @@ def linked(pairs: DataFrame, texts: DataFrame, common: Common) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(table)
-        for part, left in text_slices(batches, "text_a", SLICE // 2):
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
-                right = some.column("text_b").to_pylist()
-                like = similarities(shingler, left[at : at + 256], right, common)
-                mask = pa.array(like >= THRESHOLD - 1e-9)
-                yield some.select(["a", "b"]).filter(mask)
+        for part, left in text_slices(batches, "text_a", SLICE, "text_b"):
+            like = similarities(shingler, left, part.column("text_b").to_pylist(), common)
+            yield part.select(["a", "b"]).filter(pa.array(like >= THRESHOLD - 1e-9))
 
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
