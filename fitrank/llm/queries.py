@@ -69,7 +69,7 @@ def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def id_remainder(modulus: int, id_column: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def op6_hypervector_language(spark: SparkSession, sf_dir: str) -> DataFrame:
