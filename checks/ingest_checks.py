@@ -357,13 +357,15 @@ WHERE date_posted >= (SELECT max(date_posted) FROM postings) - INTERVAL 72 HOUR"
         ),
         f"""{P}, x AS (SELECT id, CASE
   WHEN coalesce(list_max(CAST(regexp_extract_all(lower(coalesce(description, '')),
-    '{rules.YEARS_PATTERN}', 1) AS INT[])) >= 6, false) THEN 1
+    '(\\d{{1,2}})\\s*\\+?\\s*(?:years|yrs)', 1) AS INT[])) >= 6, false) THEN 1
   WHEN NOT ({sql_not_company(("SRC5", *COMPANY_BLOCKLIST))}) THEN 2
-  WHEN regexp_matches(coalesce(title, ''), '{rules.TRAINER_PATTERN}') THEN 3
+  WHEN regexp_matches(coalesce(title, ''), '(?i)\\bai (trainer|training)\\b') THEN 3
   WHEN {sql_any('description', CLEARANCE_KEYWORDS)} THEN 4
-  WHEN regexp_matches(coalesce(description, ''), '{rules.ONSITE_PATTERN}')
+  WHEN regexp_matches(coalesce(description, ''), '(?i)hybrid|on-?site|in[- ]person')
     AND NOT contains(lower(location), 'asia') THEN 5 END AS rule_no FROM postings)
-SELECT id, rule_no, CASE rule_no {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(rules.RULE_TEXTS, 1))}
+SELECT id, rule_no, CASE rule_no WHEN 1 THEN 'requires 6 or more years of experience'
+  WHEN 2 THEN 'company is a job board' WHEN 3 THEN 'AI trainer position'
+  WHEN 4 THEN 'requires a security clearance' WHEN 5 THEN 'on-site or hybrid outside the home region'
   END AS rule_text, CASE WHEN rule_no IS NOT NULL THEN 0 END AS overall_score FROM x""",
     ),
     "join_searches": (
