@@ -8,6 +8,9 @@ the sum over its training texts.  A text gets the language with the largest cosi
 Runs of anything but letters count as one blank, at the ends of a text too.  All sums are of whole
 numbers and so don't depend on the order or partitioning of the rows.
 
+Whether a text is in one of the languages at all is told by its cosine where the text has enough
+n-grams for that, see ``least_scores``, and by its letters where it is shorter.
+
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every text
 if there is nothing to learn from; ties go to the language that sorts first; rows without a label
 teach nothing; null ids stay null.
@@ -15,6 +18,7 @@ teach nothing; null ids stay null.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,16 +33,25 @@ from fitrank.llm.batches import as_batch, narrow, text_slices
 DIMENSIONS = 1024
 TRAIN_ROWS = 5000  # expected number of labelled rows to learn from, for each language
 UNKNOWN = "und"
-LEAST_SCORE = 0.03
+# Rejection.  N-grams count as the squared sum over the sum of squares of their counts, so a text
+# that repeats one word a thousand times counts as that word.
+SHORT = 24  # n-grams below which the letters tell more than the cosine
+NOISE = 2.7  # standard deviations of the cosine of unrelated vectors, 1 / sqrt(dimensions)
+LOW_SCORE = 0.01  # quantile of the cosines of the labelled texts with about as many n-grams
+LOW_PART = 0.5  # the part of that quantile that a text must reach
+LEAST_LABELLED = 30  # labelled texts for a quantile
+OWN_LETTER = 1e-4  # part of the letters of a language that a letter of its alphabet is
+OWN_SHARE = 0.5  # share of letters of known alphabets in a short text
 GRAM_BLOCK = 4096  # n-gram vectors held at a time
 SLICE = 2 << 20
 
 
 class Profiles(NamedTuple):
-    """Languages, sorted, and their prototypes, one row each."""
+    """Languages, sorted, their prototypes, one row each, and the letters of their alphabets."""
 
     languages: list[str]
     prototypes: np.ndarray
+    letters: np.ndarray
 
 
 def letter_table() -> bytes:
@@ -89,8 +102,13 @@ def gram_counts(texts: list[str], is_letter: np.ndarray):
 
 def bundles(texts: list[str], is_letter: np.ndarray, dimensions: int) -> np.ndarray:
     """The hypervector of each text; all zero for a text without letters."""
-    total = np.zeros((len(texts), dimensions), np.float32)
-    owner, grams, columns, counts, points = gram_counts(texts, is_letter)
+    return bundled(len(texts), gram_counts(texts, is_letter), dimensions)
+
+
+def bundled(n_texts: int, counted, dimensions: int) -> np.ndarray:
+    """The hypervectors of texts from their ``gram_counts``."""
+    total = np.zeros((n_texts, dimensions), np.float32)
+    owner, grams, columns, counts, points = counted
     if len(points) == 1:
         return total
     base = letter_vectors(points, dimensions)
@@ -110,6 +128,16 @@ def bundles(texts: list[str], is_letter: np.ndarray, dimensions: int) -> np.ndar
     return total
 
 
+def evidence(counted, n_texts: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of n-grams that each text counts as, and its share of letters in ``own``."""
+    owner, _, columns, counts, points = counted
+    total = np.bincount(owner, counts, n_texts)
+    squares = np.bincount(owner, counts.astype(np.float64) ** 2, n_texts)
+    letters = np.bincount(owner, counts * (columns[1] > 0), n_texts)
+    known = np.bincount(owner, counts * (np.isin(points, own) & (points > 0))[columns[1]], n_texts)
+    return total**2 / np.maximum(squares, 1), known / np.maximum(letters, 1)
+
+
 def held_in_sample(labelled: DataFrame, rows: int) -> DataFrame:
     """A sample of about ``rows`` rows of each language, chosen by a hash of the id.
 
@@ -135,19 +163,30 @@ def learn(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = np.unpackbits(np.frombuffer(table, np.uint8)).astype(bool)
         sums: dict[str, np.ndarray] = {}
+        letters: dict[str, Counter[int]] = {}
         for part, texts in text_slices(batches, "text", SLICE):
             languages, index = np.unique(
                 np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True
             )
-            vectors = bundles(texts, is_letter, dimensions).astype(np.float64)
+            counted = gram_counts(texts, is_letter)
+            owner, _, columns, counts, points = counted
+            vectors = bundled(len(texts), counted, dimensions).astype(np.float64)
             for i, lang in enumerate(languages.tolist()):
                 sums[lang] = sums.get(lang, 0) + vectors[index == i].sum(axis=0)
+                # Every letter is in the middle of one n-gram.
+                here = (index == i)[owner] & (columns[1] > 0)
+                times = np.bincount(columns[1][here], counts[here], len(points))
+                letters.setdefault(lang, Counter()).update(
+                    {int(points[j]): float(times[j]) for j in times.nonzero()[0]}
+                )
         for lang, vector in sums.items():
+            # Letters have negative places.
+            places = [*range(dimensions), *(-1 - point for point in letters[lang])]
             yield as_batch(
                 {
-                    "lang": pa.array([lang] * dimensions),
-                    "place": pa.array(range(dimensions), pa.int32()),
-                    "value": pa.array(vector, pa.float64()),
+                    "lang": pa.array([lang] * len(places)),
+                    "place": pa.array(places, pa.int32()),
+                    "value": pa.array([*vector, *letters[lang].values()], pa.float64()),
                 }
             )
 
@@ -157,11 +196,14 @@ def learn(
         .mapInArrow(run, "lang string, place int, value double")
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
-        .toPandas()  # one row for each language and dimension
+        .toPandas()  # one row for each language and dimension or letter
     )
-    wide = summed.pivot(index="lang", columns="place", values="value").sort_index()
+    counts = summed[summed["place"] < 0]
+    share = counts["value"] / counts.groupby("lang")["value"].transform("sum")
+    own = np.unique(-1 - counts["place"][share >= OWN_LETTER].to_numpy(np.int64))
+    wide = summed[summed["place"] >= 0].pivot(index="lang", columns="place", values="value").sort_index()
     wide = wide[(wide != 0).any(axis=1)]
-    return Profiles(list(wide.index), wide.to_numpy(np.float64))
+    return Profiles(list(wide.index), wide.to_numpy(np.float64), own)
 
 
 def identify(
@@ -175,27 +217,60 @@ def identify(
     )
 
 
-def accepted(docs: DataFrame, profiles: Profiles, least: float = LEAST_SCORE) -> DataFrame:
+def least_scores(labelled: DataFrame, profiles: Profiles, rows: int = TRAIN_ROWS) -> list[float]:
+    """The cosine that a text with 2^i to 2^(i+1) n-grams must reach, for each i.
+
+    Half of a low quantile of the cosines of labelled texts of that size, or what the next smaller
+    size has where too few have it; above the noise of the vectors in any case.
+    """
+    judged = held_in_sample(labelled, rows).select("text").mapInArrow(
+        predictor(profiles, [], ("lang", "score", "grams", "own")),
+        "lang string, score double, grams double, own double",
+    )
+    size = F.floor(F.log2("grams")).cast("int")
+    found = (
+        judged.filter("grams > 0")
+        .groupBy(size.alias("size"))
+        .agg(F.count("*").alias("n"), F.percentile_approx("score", LOW_SCORE, 10_000).alias("low"))
+        .collect()  # one row for each power of two
+    )
+    low = {r["size"]: r["low"] * LOW_PART for r in found if r["n"] >= LEAST_LABELLED}
+    least = [NOISE / profiles.prototypes.shape[1] ** 0.5]
+    for size in range(64):
+        least.append(max(least[0], low.get(size, least[-1])))
+    return least[1:]
+
+
+def accepted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """The documents in a known language, with all their columns.
 
-    Rejected are texts without a letter and those less like every language than ``least``.  With no
-    language learned, only the former.
+    Rejected are texts without a letter, those less like every language than ``least_scores`` of the
+    labelled rows, and texts below ``SHORT`` n-grams in letters of other alphabets.  With no language
+    learned, only the first.
     """
     if not profiles.languages:
         return docs.filter(docs["text"].rlike(r"\p{L}"))
-    names = ("lang_pred__", "score__")
-    schema = StructType([*docs.schema.fields])
-    schema = schema.add(names[0], StringType()).add(names[1], DoubleType())
+    labelled = docs.filter(docs["lang"].isNotNull()).select("doc_id", "text", "lang")
+    least = F.array(*map(F.lit, least_scores(labelled, profiles)))
+    names = ("lang_pred__", "score__", "grams__", "own__")
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType())
+    for name in names[1:]:
+        schema = schema.add(name, DoubleType())
     judged = docs.mapInArrow(predictor(profiles, docs.columns, names), schema)
-    kept = (judged[names[0]] != UNKNOWN) & (judged[names[1]] >= least)
-    return judged.filter(kept).select(*[judged[c] for c in docs.columns])
+    lang, score, grams, own = (judged[name] for name in names)
+    like = F.when(grams < SHORT, own >= OWN_SHARE).otherwise(
+        score >= F.get(least, F.floor(F.log2(grams)).cast("int"))
+    )
+    return judged.filter((lang != UNKNOWN) & like).select(*[judged[c] for c in docs.columns])
 
 
 def predictor(profiles: Profiles, carried: list[str], names: tuple[str, str]):
-    """A function over Arrow batches that gives the carried columns, language and score."""
+    """A function over Arrow batches that gives the carried columns, language and score; for four
+    names, the n-grams that a text counts as and its share of letters of the known alphabets too."""
     table = letter_table()
     languages = [*profiles.languages, UNKNOWN]
     lengths = np.linalg.norm(profiles.prototypes, axis=1, keepdims=True)
+    own = profiles.letters
     directions = (profiles.prototypes / lengths).T if len(profiles.languages) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +278,21 @@ def predictor(profiles: Profiles, carried: list[str], names: tuple[str, str]):
         for part, texts in text_slices(batches, "text", SLICE):
             best = np.full(len(texts), len(languages) - 1)
             score = np.zeros(len(texts))
+            counted = gram_counts(texts, is_letter)
             if directions is not None:
-                vectors = bundles(texts, is_letter, directions.shape[0]).astype(np.float64)
+                vectors = bundled(len(texts), counted, directions.shape[0]).astype(np.float64)
                 size = np.linalg.norm(vectors, axis=1)
                 some = np.flatnonzero(size)
                 cosines = vectors[some] @ directions / size[some, None]
                 best[some] = cosines.argmax(axis=1)
                 score[some] = np.clip(cosines.max(axis=1), 0, 1)
+            more = evidence(counted, len(texts), own) if names[2:] else ()
             yield as_batch(
                 {
                     **{name: part.column(name) for name in carried},
                     names[0]: pa.array([languages[i] for i in best], pa.string()),
                     names[1]: pa.array(score, pa.float64()),
+                    **dict(zip(names[2:], map(pa.array, more))),
                 }
             )
 

@@ -45,6 +45,31 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 7
 
 
+def test_texts_in_unknown_languages_go(spark):
+    import random
+
+    draw = random.Random(3)
+    labelled = spark.read.parquet(f"{BIGGER}/documents.parquet").select("doc_id", "text", "lang")
+
+    def written(letters, words):
+        return " ".join("".join(draw.choices(letters, k=draw.randint(2, 9))) for _ in range(words))
+
+    latin = "abcdefghijklmnopqrstuvwxyz"
+    strange = [written(script, words) for script in ("абвгдежзиклмнопрсту", "αβγδεζηθικλμνξοπρ")
+               for words in (1, 3, 10, 100, 2000) for _ in range(20)]
+    strange += [written(latin, words) for words in (40, 100, 2000) for _ in range(20)]
+    strange += ["kot je rybę w kuchni babci bardzo spokojnie a potem śpi na krześle przy oknie"]
+    clean = ["the", "Avec.", "und", "All rights reserved.", "the quick brown fox jumps over the lazy dog",
+             "the birds and the house " * 500, "The The The The " * 100]
+    texts = [(-1 - i, text, None) for i, text in enumerate([*strange, *clean])]
+    docs = labelled.union(spark.createDataFrame(texts, labelled.schema))
+    profiles = hypervector_language.learn(docs, F.lit(True))
+    kept = {r["doc_id"] for r in hypervector_language.accepted(docs, profiles).collect()}
+    assert not [text for i, text, _ in texts[: len(strange)] if i in kept]
+    assert not [text for i, text, _ in texts[len(strange) :] if i not in kept]
+    assert labelled.filter(F.col("text").rlike(r"\p{L}") & ~F.col("doc_id").isin(kept)).isEmpty()
+
+
 def test_nothing_to_learn_from(spark):
     docs = language_docs(spark).withColumn("lang", F.lit(None).cast("string"))
     profiles = hypervector_language.learn(docs, F.lit(True))
