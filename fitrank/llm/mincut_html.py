@@ -17,6 +17,7 @@ import html as markup
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -52,16 +53,20 @@ PLAIN_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar "
     "status toolbar".split()
 )
-PLAIN_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|billboard|breadcrumbs?|captcha|"
-    r"comments?|commentlist|comment-?\w*|consent|cookies?|copyright|dialog|discuss(?:ion)?|disqus|"
+# Parts of a class name or id, which are split at hyphens and underscores.
+PLAIN_WORD = re.compile(
+    r"ads?|adverts?|advertisement|adsense|banner|billboard|breadcrumbs?|captcha|"
+    r"comment\w*|consent|cookies?|copyright|dialog|discuss(?:ion)?|disqus|"
     r"dropdown|follow|footer|foot|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|"
     r"navigation|newsletter|notices?|notification|outbrain|overlay|pager|pagination|paywall|popup|"
     r"promo(?:tion)?|recommend(?:ed|ations)?|related|repl(?:y|ies)|responses?|search|share|sharing|"
     r"side|sidebar|signup|skip|social|sponsor(?:ed|s)?|subscribe|taboola|tags?|teaser|toc|toolbar|"
-    r"topbar|warning|alert|widget)(?:$|[\s_-])",
+    r"topbar|warning|alert|widget",
     re.IGNORECASE,
 )
+LAYOUT_WORDS = frozenset("with without has no is show hide".split())  # with-sidebar: the rest of the page
+MAIN_WORDS = frozenset("article content entry main post story".split())
+NAME_PARTS = re.compile(r"[^\W\d_]+")
 MAIN_NAMES = re.compile(
     r"(?:^|[\s_-])(?:article|body-?text|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE
 )
@@ -77,7 +82,9 @@ HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNO
 
 # Weights of the classifier: the score of a block is their sum; above zero it looks like content.
 BIAS = 0.5
-IN_PLAIN = -12.0
+IN_PLAIN = -12.0  # by tag or role
+IN_PLAIN_NAME = -6.0  # by a name that is a listed word or ends with one, as site-footer
+IN_PLAIN_PART = -1.5  # by a name that only begins with one, as nav-open
 IN_MAIN = 3.0
 IN_MAIN_NAME = 1.0
 LINKED = -3.0  # times the share of the letters inside links
@@ -103,6 +110,7 @@ class Box:
 class Block(NamedTuple):
     text: str
     plain: bool
+    plain_name: float
     main: bool
     named: bool
     heading: bool
@@ -115,6 +123,7 @@ class Element(NamedTuple):
     box: Box
     skipped: bool
     plain: bool
+    plain_name: float
     main: bool
     named: bool
     link: bool
@@ -125,7 +134,7 @@ class BlockReader:
     """Collects the text blocks of one page, in one pass over its characters."""
 
     def __init__(self):
-        self.open = [Element("", Box(None), False, False, False, False, False, False)]
+        self.open = [Element("", Box(None), False, False, 0.0, False, False, False, False)]
         self.count_open: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.parts: list[str] = []
@@ -178,7 +187,7 @@ class BlockReader:
             top = self.open[-1]
             share = min(1.0, self.linked / len(text))
             self.blocks.append(
-                Block(text, top.plain, top.main, top.named, top.heading, share, top.box)
+                Block(text, top.plain, top.plain_name, top.main, top.named, top.heading, share, top.box)
             )
         self.parts, self.linked = [], 0
 
@@ -230,15 +239,20 @@ class BlockReader:
             tag in PLAIN_TAGS
             or role in PLAIN_ROLES
             or (tag == "header" and not up.main)
-            or (tag not in ("html", "body", "article", "main") and names.strip() != ""
-                and bool(PLAIN_NAMES.search(names)))
         )
+        named = plain_name(names, up.main) if names.strip() and tag not in ("html", "body") else 0.0
+        if main or (tag == "h1" and up.main):
+            # What encloses an article or its title says nothing of it; a comment is still a comment.
+            named = min(named, up.plain_name) if named and up.plain_name and tag == "article" else 0.0
+        else:
+            named = min(named, up.plain_name)
         return Element(
             tag,
             Box(up.box) if tag in BLOCKS else up.box,
             up.skipped or hidden or tag in SKIPPED,
             up.plain or own_plain,
-            up.main or main,
+            named,
+            up.main or (main and not named),
             up.named or (names.strip() != "" and bool(MAIN_NAMES.search(names))),
             up.link or tag == "a",
             up.heading or tag in HEADINGS,
@@ -260,6 +274,25 @@ class BlockReader:
                 self.linked += len(data)
 
 
+@lru_cache(1 << 12)
+def plain_name(names: str, in_main: bool) -> float:
+    """The weight of classes and ids that name a part around the article, 0 for none."""
+    weight = 0.0
+    tokens = names.lower().split()
+    for token in tokens:
+        parts = NAME_PARTS.findall(token)
+        if in_main or not MAIN_WORDS.isdisjoint(parts):
+            parts = [part for part in parts if part != "header"]  # of the article
+        listed = [PLAIN_WORD.fullmatch(part) is not None for part in parts]
+        if not any(listed) or (parts[0] in LAYOUT_WORDS and len(parts) > 1):
+            continue
+        if listed[-1] or sum(listed) > 1:
+            weight = min(weight, IN_PLAIN_NAME)
+        elif MAIN_WORDS.isdisjoint(tokens):  # else a mark of the article, as tag-music
+            weight = min(weight, IN_PLAIN_PART)
+    return weight
+
+
 def read_attributes(inside: str) -> dict[str, str]:
     if not inside.strip(" /"):
         return {}
@@ -285,6 +318,7 @@ def score(block: Block) -> float:
     return (
         BIAS
         + IN_PLAIN * block.plain
+        + block.plain_name
         + IN_MAIN * block.main
         + IN_MAIN_NAME * block.named
         + LINKED * block.linked

@@ -36,6 +36,27 @@ def test_blocks(html, want):
     assert got == want if want is not None else got[0] == "quoted"
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<article><header class='entry-header'><h1>Title</h1></header><p>{LONG}</p></article>", ["Title", LONG]),
+        (f"<div class=post><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p></div>", ["Title", LONG]),
+        (f"<article><div class='header'><h2>Title</h2></div><p>{LONG}</p></article>", ["Title", LONG]),
+        (f"<article><div class='top-banner'><h1>Title</h1></div><p>{LONG}</p></article>", ["Title", LONG]),
+        (f"<div class='content with-sidebar'><article><p>{LONG}</p><p>So.</p></article></div>", [LONG, "So."]),
+        (f"<div class='content with-sidebar'><p>{LONG}</p><p>So.</p></div>", [LONG, "So."]),
+        (f"<div class='widget'><main><p>{LONG}</p><p>So.</p></main></div>", [LONG, "So."]),
+        (f"<div id=page class='nav-open'><p>{LONG}</p><p>So it is.</p><p>{LONG}</p></div>", [LONG, "So it is.", LONG]),
+        (f"<div class='post tag-music'><p>{LONG}</p><p>So it is.</p></div>", [LONG, "So it is."]),
+        (f"<article><p>{LONG}</p><div class='share-buttons'><a>Tell a friend</a></div></article>", [LONG]),
+        (f"<p>{LONG}</p><div id=comments><article class='comment-body'><p>{LONG}</p></article></div>", [LONG]),
+        (f"<p>{LONG}</p><div class='site-footer'>{LONG}</div><div id='cookie-notice-2'>{LONG}</div>", [LONG]),
+    ],
+)
+def test_names_of_wrappers(html, want):
+    assert mincut_html.content_blocks(html) == want
+
+
 def test_deep_and_long_pages():
     assert len(mincut_html.content_blocks("<div>x" * 20_000)) == 20_000
     assert mincut_html.content_blocks("<b>" * 50_000 + "</i>" * 50_000 + "some text") == ["some text"]
