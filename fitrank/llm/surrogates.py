@@ -1,7 +1,9 @@
 """Personal data and secrets replaced by keyed surrogates of the same kind.
 
-Entities are found by patterns: e-mail addresses, phone numbers, payment cards, IP addresses, social
-security numbers, bank accounts, access keys, passwords and tokens, and names after a form of address.
+Entities are found by patterns: e-mail addresses, phone numbers, payment cards, IP addresses (version 4
+and 6), social security numbers, bank accounts, access keys, passwords and tokens (after their name, in
+bearer headers, by known prefixes, JSON web tokens), private keys, and names after a form of address.
+Phone numbers are 7 to 15 digits after a plus or an area code, or 10 and more in groups.
 A surrogate is drawn from a keyed hash of the entity and has its format: letters for letters of the
 same case and script, digits for digits, check digits that hold where they held, given names of the
 gender of the form of address.  One entity has one surrogate in all texts and spellings, so what
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -39,13 +42,22 @@ WORD = r"[^\W\d_][^\W\d_'’-]*"
 TITLES = {
     "m": "Mr Herr Monsieur Señor Signor господин г-н".split(),
     "f": "Mrs Ms Frau Madame Mme Mlle Señora Signora госпожа г-жа".split(),
+    "x": "Dr Prof Doctor Professor Mx".split(),  # say nothing of the gender
 }
 GENDER_OF = {title: gender for gender, titles in TITLES.items() for title in titles}
 NAME = re.compile(
-    rf"(?<!\w)({'|'.join(sorted(GENDER_OF, key=len, reverse=True))})\.? ({WORD}(?:[ -]{WORD}){{0,2}})"
+    rf"(?<!\w)({'|'.join(sorted(GENDER_OF, key=len, reverse=True))})\.? "
+    rf"(?:(?:Dr|Prof)\.? )*({WORD}(?:[ -]{WORD}){{0,2}})"
 )
 EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IPV4 = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
+IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?:(?<=:)\d{1,3}(?:\.\d{1,3}){3})?(?![\w:]|\.\d)")
+# A plus and digits in groups of any length, or an area code with 0, a separator and digits.
+LONG_PHONE = re.compile(
+    r"(?<![\w.+])\+[1-9](?:(?:[ ./-]|\(0\)|[ .-]?\((?=\d{1,5}\))|\)[ .-]?)?\d){6,14}(?![\w@]|[.-]\d)"
+    r"|(?<![\w./-])(?:\(0\d{1,5}\)[ /-]?|0[1-9]\d{0,4}(?: ?/ ?|[ -]))\d{3,12}(?:[ -]\d{1,8}){0,3}(?![\w@/]|[.-]\d)"
+    r"|(?<![\w./+-])0[1-9]\d{8,9}(?![\w@/]|[.-]\d)"
+)
 PHONE = re.compile(
     r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|0\d{1,4}[ /])?"
     r"\d{2,4}(?:(?:[.-]\d{2,4}){1,4}|(?: \d{2,4}){1,4})?(?![\w@]|[.-]\d)"
@@ -60,6 +72,19 @@ ACCESS_KEY = re.compile(r"(?<!\w)(?:AKIA|ASIA)([0-9A-Z]{16})(?!\w)")
 SECRET = re.compile(
     r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key)[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{4,})"
 )
+BEARER = re.compile(
+    r"(?i)\b(?:authorization[\"']?\s*[:=]\s*[\"']?(?:bearer|basic|token)|bearer)\s+([\w.~+/=-]{7,}[\w~+/=-])"
+)
+JWT = re.compile(r"(?<![\w-])eyJ[\w-]{5,}\.[\w-]{4,}\.[\w-]*(?![\w-])")
+PREFIXED = re.compile(
+    r"(?<![A-Za-z0-9])(gh[oprsu]_|github_pat_|glpat-|xox[abeoprs]-|sk-(?:[a-z]+-)?|[rs]k_(?:live|test)_|"
+    r"pk_live_|AIza|ya29\.|npm_|pypi-|hf_|SG\.|dop_v1_|shpat_)([\w.-]{15,}[\w-])(?![\w-])"
+)
+PRIVATE_KEY = re.compile(
+    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)(?: BLOCK)?-----"
+    r"(?:((?:(?!-----BEGIN).)*?)-----END \1|((?:\s+[A-Za-z0-9+/=]{20,}(?!\S))+))",
+    re.DOTALL,
+)
 SYLLABLES = {
     "latin": ("b d f g h k l m n p r s t v".split(), "a e i o u".split(), "n r s l".split(), "a"),
     "cyrillic": ("б в г д к л м н п р с т".split(), "а е и о у".split(), "н р с л".split(), "а"),
@@ -99,8 +124,24 @@ def numbers(text: str) -> Iterator[Entity]:
     for m in IPV4.finditer(text):
         if all(int(part) < 256 for part in m[0].split(".")):
             yield Entity(*m.span(), "ip", ".".join(str(int(p)) for p in m[0].split(".")))
+    if ":" in text:
+        for m in IPV6.finditer(text):
+            spelling = m[0] if m[0].endswith("::") else m[0].rstrip(":")
+            try:
+                address = ipaddress.IPv6Address(spelling)
+            except ValueError:  # a time, a ratio
+                continue
+            groups = [group for group in spelling.split(":") if group]
+            # Short ones without a digit, as in a::b, are names in programs.
+            if any(map(str.isdecimal, spelling)) and (len(groups) > 2 or max(map(len, groups)) > 3):
+                yield Entity(m.start(), m.start() + len(spelling), "ipv6", address.compressed)
     for m in SSN.finditer(text):
         yield Entity(*m.span(), "ssn", digits_of(m[0]))
+    for m in LONG_PHONE.finditer(text):
+        digits = digits_of(m[0])
+        if 7 <= len(digits) <= 15:
+            national = digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
+            yield Entity(*m.span(), "phone", national)
     for m in PHONE.finditer(text):
         digits = digits_of(m[0])
         least = 7 if m[0][0] in "+(" else 10
@@ -112,7 +153,8 @@ def numbers(text: str) -> Iterator[Entity]:
 
 def names(text: str) -> Iterator[Entity]:
     known: dict[str, str] = {}
-    for m in NAME.finditer(text):
+    # A title without a gender takes that of the same given name elsewhere in the text.
+    for m in sorted(NAME.finditer(text), key=lambda m: GENDER_OF[m[1]] == "x"):
         gender, at = GENDER_OF[m[1]], m.start(2)
         words = []
         for word in re.finditer(WORD, m[2]):
@@ -121,6 +163,8 @@ def names(text: str) -> Iterator[Entity]:
             words.append(word)
         for i, word in enumerate(words):
             kind = "surname" if i == len(words) - 1 else f"given_{gender}"
+            if kind == "given_x" and known.get(word[0], "").startswith("given"):
+                kind = known[word[0]]
             known.setdefault(word[0], kind)
             known.setdefault(word[0].upper(), kind)
             yield Entity(at + word.start(), at + word.end(), kind, word[0].casefold())
@@ -144,6 +188,21 @@ def entities(text: str) -> list[Entity]:
         found += [(0, Entity(*m.span(1), "secret", m[1])) for m in SECRET.finditer(text)]
     if "AKIA" in text or "ASIA" in text:
         found += [(0, Entity(*m.span(1), "access_key", m[1])) for m in ACCESS_KEY.finditer(text)]
+    if "-----BEGIN" in text:
+        # One that is cut off ends with its last line of code.
+        found += [(0, Entity(*m.span(m.lastindex), "secret", m[m.lastindex])) for m in PRIVATE_KEY.finditer(text)]
+    found += [
+        (0, Entity(*m.span(1), "secret", m[1]))
+        for m in BEARER.finditer(text)
+        if m[0][0] in "aA" or len(m[1]) > 20 or not m[1].isalpha()  # else it may be a word
+    ]
+    if "eyJ" in text:
+        found += [(0, Entity(m.start() + 3, m.end(), "secret", m[0][3:])) for m in JWT.finditer(text)]
+    found += [
+        (0, Entity(*m.span(2), "secret", m[2]))
+        for m in PREFIXED.finditer(text)
+        if any(c.isdecimal() for c in m[2])
+    ]
     if "@" in text:
         found += [(1, Entity(*m.span(), "email", m[0].lower())) for m in EMAIL.finditer(text)]
     if digits:
@@ -234,6 +293,12 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
             kept = 2
         drawn = [str(1 + draw.below(254)) for _ in parts[kept:]]
         return ".".join(parts[:kept] + drawn) + (f":{more}" if more else "")
+    if kind == "ipv6":
+        groups = ipaddress.IPv6Address(canon).exploded.split(":")
+        local = groups[0][:2] in ("fc", "fd", "fe")  # the kind of network stays
+        drawn = ["".join(draw.of("0123456789abcdef") for _ in group) for group in groups]
+        drawn[0] = groups[0] if local else f"2{drawn[0][1:]}"
+        return ipaddress.IPv6Address(":".join(drawn)).compressed
     extra = shaped("0" * more, draw)
     if kind == "card":
         body = canon[0] + shaped(canon[1:-1], draw) + extra
