@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+HASH_BITS = 62  # a place among 2^62 is exact for any number of rows
 SLICE_BYTES = 4 << 20  # text bytes that a task handles at once; a longer single text is one slice
 
 
@@ -42,3 +44,13 @@ def narrow(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(
         docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text")
     )
+
+
+def hash_place(name: str) -> Column:
+    """A place from 0 to 2^62 - 1 by a hash of doc_id, another one for each name."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1 << HASH_BITS))
+
+
+def hash_share(wanted: int, available: int) -> Column:
+    """The place below which about ``wanted`` of the available rows are."""
+    return F.lit((1 << HASH_BITS) * min(wanted, max(available, 1)) // max(available, 1)).cast("bigint")

@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitrank.llm.batches import as_batch, narrow, text_slices
+from fitrank.llm.batches import as_batch, hash_place, hash_share, narrow, text_slices
 
 WINDOW = 2048  # bytes that are compressed at once
 DICTIONARY_BYTES = 110_000
 DICTIONARY_WINDOWS = 3000  # expected number of windows for each dictionary
 CALIBRATION_ROWS = 6000  # expected number of texts to calibrate on
 LEVEL = 3
-STEPS = 1 << 20
 
 
 class Model(NamedTuple):
@@ -84,14 +83,6 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def of_hash(name: str) -> Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(STEPS))
-
-
-def share_of(wanted: int, available: int) -> Column:
-    return F.lit(int(STEPS * min(1.0, wanted / max(available, 1))))
-
-
 def build_dictionary(parts: list[bytes]) -> bytes:
     """A trained dictionary; the parts themselves where there are too few to train on."""
     import zstandard
@@ -114,13 +105,13 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     counts = {r["label"]: r["count"] for r in rated.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model(None, None, 0.0, {(): 0.0, (0,): -40.0, (1,): 40.0}[tuple(counts)])
-    for_dictionary = of_hash("half") < STEPS // 2
-    by_label = F.when(F.col("label") == 1, share_of(2 * DICTIONARY_WINDOWS, counts[1])).otherwise(
-        share_of(2 * DICTIONARY_WINDOWS, counts[0])
+    for_dictionary = hash_place("half") < hash_share(1, 2)
+    by_label = F.when(F.col("label") == 1, hash_share(2 * DICTIONARY_WINDOWS, counts[1])).otherwise(
+        hash_share(2 * DICTIONARY_WINDOWS, counts[0])
     )
     chosen = rated.filter(
-        F.when(for_dictionary, of_hash("row") < by_label).otherwise(
-            of_hash("row") < share_of(2 * CALIBRATION_ROWS, sum(counts.values()))
+        F.when(for_dictionary, hash_place("row") < by_label).otherwise(
+            hash_place("row") < hash_share(2 * CALIBRATION_ROWS, sum(counts.values()))
         )
     ).withColumn("for_dictionary", for_dictionary)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())

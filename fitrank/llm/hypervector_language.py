@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from fitrank.llm.batches import as_batch, narrow, text_slices
+from fitrank.llm.batches import as_batch, hash_place, hash_share, narrow, text_slices
 
 DIMENSIONS = 1024
 TRAIN_ROWS = 5000  # expected number of labelled rows to learn from, for each language
@@ -144,13 +144,10 @@ def held_in_sample(labelled: DataFrame, rows: int) -> DataFrame:
     The counts by language cover all rows; the texts of rows outside the sample are not read on.
     """
     counted = labelled.groupBy("lang").count().collect()  # one row for each language
-    steps = 1 << 20
     share = F.lit(0)
     for lang, count in ((r["lang"], r["count"]) for r in counted):
-        share = F.when(F.col("lang") == lang, F.lit(int(steps * min(1.0, rows / count)))).otherwise(
-            share
-        )
-    return labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(steps)) < share)
+        share = F.when(F.col("lang") == lang, hash_share(rows, count)).otherwise(share)
+    return labelled.filter(hash_place("language") < share)
 
 
 def learn(

@@ -70,6 +70,20 @@ def test_texts_in_unknown_languages_go(spark):
     assert labelled.filter(F.col("text").rlike(r"\p{L}") & ~F.col("doc_id").isin(kept)).isEmpty()
 
 
+@pytest.mark.parametrize("available", [0, 1, 3000, 10_000, 10**7, 10**10, 10**13, 10**15])
+def test_samples_have_their_size_at_every_scale(spark, available):
+    from fitrank.llm import batches
+
+    for module in (hypervector_language, compression_quality):
+        assert module.hash_share is batches.hash_share
+    share = spark.range(1).select(batches.hash_share(5000, available)).first()[0]
+    assert abs(share / 2**62 * available - min(5000, available)) < 1e-3
+    below = spark.range(20_000).select(F.col("id").alias("doc_id")).filter(
+        batches.hash_place("x") < batches.hash_share(5000, 20_000)
+    )
+    assert 4700 < below.count() < 5300
+
+
 def test_nothing_to_learn_from(spark):
     docs = language_docs(spark).withColumn("lang", F.lit(None).cast("string"))
     profiles = hypervector_language.learn(docs, F.lit(True))
