@@ -13,6 +13,9 @@ from fitrank.llm import (
     hypervector_language,
     link_trust,
     mincut_html,
+    norm_pruned,
+    phrase_graph,
+    sign_links,
     surrogates,
     token_count,
     weighted_minhash,
@@ -119,6 +122,21 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sign_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_norm_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = norm_pruned.whole_numbers(table(spark, sf_dir, "embeddings"), label, 256)
+    return norm_pruned.mine(rows, vec_id % 100 == 0)
+
+
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_weighted_minhash": op1_weighted_minhash,
     "op2_token_count": op2_token_count,
@@ -130,8 +148,14 @@ QUERIES = {
     "op8_hnsw": op8_hnsw,
     "op9_compression_quality": op9_compression_quality,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_sign_links": op11_sign_links,
+    "op12_norm_pruned": op12_norm_pruned,
+    "op13_phrase_graph": op13_phrase_graph,
 }
 ORACLES = {
     "op3_containment": containment.ORACLE,
     "op7_link_trust": link_trust.oracle(URL_RULES),
+    "op11_sign_links": sign_links.ORACLE,
+    "op12_norm_pruned": norm_pruned.ORACLE,
+    "op13_phrase_graph": phrase_graph.ORACLE,
 }
