@@ -2,8 +2,10 @@
 
 Long texts are cut before encoding, only where a match of the split pattern must end: between a
 letter or digit and a single space that a letter or digit follows.  No match reaches over such a
-place, so the ids are those of the whole text.  Decoding joins the raw bytes of the ids, which need
-not be valid UTF-8 piece by piece.
+place, so the ids are those of the whole text.  A stretch of more than ``MOST_CHARS`` without such a
+place, such as a run of blanks, would exhaust the stack of the library's pattern matching; it is split
+by the regex library, and its matches are encoded one by one.  Decoding joins the raw bytes of the
+ids, which need not be valid UTF-8 piece by piece.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; null ids stay null;
 repeated rows are encoded each; other columns of the input are not looked at.
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame
 from fitrank.llm.batches import as_batch, narrow, text_slices
 
 CUT_CHARS = 100_000
+MOST_CHARS = 200_000
 SAFE_CUT = r"(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}])"
 
 
@@ -45,10 +48,26 @@ def safe_pieces(text: str, size: int = CUT_CHARS) -> list[str]:
     return [*pieces, text[start:]]
 
 
-def encode_text(encoding, text: str, size: int = CUT_CHARS) -> list[int]:
+def matches(pattern: str, text: str) -> Iterator[str]:
+    """The matches of the split pattern, without a limit on their length."""
+    import regex
+
+    # White space as the library has it, without the four separators of ASCII.
+    own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    return (found[0] for found in regex.finditer(own, text))
+
+
+def encode_text(encoding, text: str, size: int = CUT_CHARS, most: int = MOST_CHARS) -> list[int]:
     if len(text) <= size:
         return encoding.encode_ordinary(text)
-    return [i for piece in safe_pieces(text, size) for i in encoding.encode_ordinary(piece)]
+    ids: list[int] = []
+    for piece in safe_pieces(text, size):
+        if len(piece) <= most:
+            ids += encoding.encode_ordinary(piece)
+        else:
+            for match in matches(encoding._pat_str, piece):
+                ids += encoding._encode_single_piece(match)
+    return ids
 
 
 def encode(
