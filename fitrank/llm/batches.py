@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,3 +55,20 @@ def hash_place(name: str) -> Column:
 def hash_share(wanted: int, available: int) -> Column:
     """The place below which about ``wanted`` of the available rows are."""
     return F.lit((1 << HASH_BITS) * min(wanted, max(available, 1)) // max(available, 1)).cast("bigint")
+
+
+def columns_apart(*used: str) -> Callable:
+    """For an operator on documents that carries their columns: those that it doesn't use bear neutral
+    names inside of it, so that no name of a user's column can clash with one of its own."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            inside = [n if n in used else f"column_{i}" for i, n in enumerate(docs.columns)]
+            outside = dict(zip(inside, docs.columns, strict=True))
+            out = operator(docs.toDF(*inside), *args, **options)
+            return out.toDF(*(outside.get(n, n) for n in out.columns))
+
+        return run
+
+    return wrap

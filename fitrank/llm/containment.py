@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fitrank.llm.batches import columns_apart
 from fitrank.llm.scratch import settle
 
 WORDS = 5
@@ -135,6 +136,7 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+@columns_apart("text")
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     found = found_texts(docs, items).select(*KEY).distinct()

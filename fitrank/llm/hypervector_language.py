@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from fitrank.llm.batches import as_batch, hash_place, hash_share, narrow, text_slices
+from fitrank.llm.batches import as_batch, columns_apart, hash_place, hash_share, narrow, text_slices
 
 DIMENSIONS = 1024
 TRAIN_ROWS = 5000  # expected number of labelled rows to learn from, for each language
@@ -238,6 +238,7 @@ def least_scores(labelled: DataFrame, profiles: Profiles, rows: int = TRAIN_ROWS
     return least[1:]
 
 
+@columns_apart("doc_id", "text", "lang")
 def accepted(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """The documents in a known language, with all their columns.
 

@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret key that the session names in ``spark.fitrank.surrogate.key``."""
+    named = spark.conf.get("spark.fitrank.surrogate.key", None)
+    return named.encode() if named else SURROGATE_KEY
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -61,8 +67,8 @@ def op3_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
-    return replaced.select("doc_id", "text", F.col("n_entities__").alias("n_entities"))
+    replaced = surrogates.replace(table(spark, sf_dir, "documents"), surrogate_key(spark), "n_entities")
+    return replaced.select("doc_id", "text", "n_entities")
 
 
 def op5_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from fitrank.llm.batches import as_batch, text_slices
+from fitrank.llm.batches import as_batch, columns_apart, text_slices
 from fitrank.llm.scratch import settle
 
 LONGER_AFTER = 8  # draws before surrogates get longer
@@ -49,7 +49,8 @@ NAME = re.compile(
     rf"(?<!\w)({'|'.join(sorted(GENDER_OF, key=len, reverse=True))})\.? "
     rf"(?:(?:Dr|Prof)\.? )*({WORD}(?:[ -]{WORD}){{0,2}})"
 )
-EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+# Each run before an @ is read once, from its start.
+EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IPV4 = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{2,39}(?:(?<=:)\d{1,3}(?:\.\d{1,3}){3})?(?![\w:]|\.\d)")
 # A plus and digits in groups of any length, or an area code with 0, a separator and digits.
@@ -421,8 +422,10 @@ def registry(found: DataFrame, key: bytes) -> DataFrame:
         rows = settle(judged.filter("not bad").drop("bad").unionAll(anew), "drawn")
 
 
-def replace(docs: DataFrame, key: bytes) -> DataFrame:
-    """The documents with surrogates in ``text``, and ``n_entities__``, the number of replacements."""
+@columns_apart("text")
+def replace(docs: DataFrame, key: bytes, counted: str | None = "n_entities__") -> DataFrame:
+    """The documents with surrogates in ``text`` and, where ``counted`` names a column, the number of
+    replacements in it."""
     md5 = F.unhex(F.md5(docs["text"].cast("string")))
     texts = docs.select(md5.alias("key"), docs["text"].cast("string").alias("text")).filter(
         F.col("text").isNotNull()
@@ -459,4 +462,5 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     schema = StructType(
         [StructField(f.name, StringType() if f.name == "text" else f.dataType) for f in docs.schema]
     )
-    return joined.mapInArrow(run, schema.add("n_entities__", IntegerType()))
+    new = joined.mapInArrow(run, schema.add("n_entities__", IntegerType()))
+    return new.withColumnRenamed("n_entities__", counted) if counted else new.drop("n_entities__")

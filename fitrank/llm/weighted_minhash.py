@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from fitrank.llm.batches import as_batch, text_slices
+from fitrank.llm.batches import as_batch, columns_apart, text_slices
 from fitrank.llm.components import components
 from fitrank.llm.scratch import settle
 from fitrank.llm.shingles import Shingler, counted, mixed, word_table
@@ -370,6 +370,7 @@ def classes(docs: DataFrame) -> DataFrame:
     )
 
 
+@columns_apart("doc_id", "text")
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, that with the smallest id, with all columns of the documents."""
     rows = settle(classed_rows(docs), "rows").filter(F.col("key").isNotNull())
