@@ -15,7 +15,7 @@ from fitrank.functions.fixed_values import (
     COMPANY_BLOCKLIST,
     TITLE_BLOCKLIST,
 )
-from fitrank.operators import filters, lookback, ranking, rules, shaping
+from fitrank.operators import filters, keyword_join, lookback, ranking, rules, shaping
 from fitrank.plans import ingest
 
 P = duckdb_with("postings")
@@ -223,6 +223,59 @@ def q_tables(v: Views):
     return base(filters.filter_by_tables(v.postings, lists))
 
 
+def part_names(v: Views):
+    return v.table("part").select(F.lower("p_name").alias("keyword"))
+
+
+def q_keyword_join(v: Views):
+    """All part names as one list against all titles."""
+    texts = v.postings.select("id", F.lower("title").alias("text"))
+    pairs = keyword_join.keyword_hits(texts, part_names(v))
+    keyed = texts.withColumn("key", keyword_join.text_key(F.col("text")))
+    return keyed.join(pairs, "key").select("id", "keyword")
+
+
+def benchmark_words(v: Views):
+    """Words of the benchmark, those of fewer than four letters too, as one long list."""
+    return v.table("benchmark").select(F.explode(F.split("text", " ")).alias("keyword"))
+
+
+def q_long_lists(v: Views):
+    """Titles with a part name, descriptions without any of the longer benchmark words."""
+    kept = keyword_join.filter_by_keyword_table(v.postings, part_names(v), "title", True)
+    words = benchmark_words(v).where(F.char_length("keyword") >= 11)
+    return base(keyword_join.filter_by_keyword_table(kept, words, "description", False))
+
+
+def q_description_words(v: Views):
+    """Number of benchmark words of every length that each description holds."""
+    texts = v.postings.select("id", F.lower("description").alias("text"))
+    words = benchmark_words(v).select(F.lower("keyword").alias("keyword"))
+    pairs = keyword_join.keyword_hits(texts, words).groupBy("key").agg(F.count("*").alias("n_words"))
+    keyed = texts.withColumn("key", keyword_join.text_key(F.col("text")))
+    return keyed.join(pairs, "key").select("id", "n_words")
+
+
+SEARCH_TABLE = """
+SELECT CAST(p_partkey AS INT) AS search_no,
+  CASE WHEN p_partkey % 40 = 0 THEN '' WHEN p_partkey % 41 = 0 THEN NULL
+    WHEN p_partkey % 5 = 0 THEN upper(p_name) ELSE p_name END AS search_term,
+  CASE p_partkey % 4 WHEN 0 THEN ' Asia ' WHEN 1 THEN 'europe' WHEN 2 THEN '' END AS location,
+  CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_remote,
+  CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(48 + p_partkey % 9 * 48 AS INT) END AS hours_old,
+  20 AS results_per_source,
+  CASE p_partkey % 5 WHEN 0 THEN 'fulltime' WHEN 1 THEN 'contract' ELSE '' END AS job_type
+FROM {part}
+"""
+
+
+def q_search_table(v: Views):
+    """One search for every row of the part table."""
+    searches = v.spark.sql(SEARCH_TABLE, part=v.table("part"))
+    found = keyword_join.join_search_table(v.postings.drop("description"), searches, v.as_of)
+    return found.select("id", "search_no", "search_term")
+
+
 def hits(v: Views):
     return ranking.join_searches(v.postings, SEARCHES, v.as_of)
 
@@ -372,6 +425,35 @@ SELECT id, rule_no, CASE rule_no WHEN 1 THEN 'requires 6 or more years of experi
         lambda v: hits(v).select("id", "title", "company", "location", "search_no"),
         f"{P}, {search_sql()} SELECT {SEARCH_TEXT} FROM hits",
     ),
+    "keyword_join": (
+        q_keyword_join,
+        f"""{P} SELECT id, keyword FROM postings
+JOIN (SELECT DISTINCT lower(p_name) AS keyword FROM part) ON contains(lower(title), keyword)""",
+    ),
+    "keyword_join_descriptions": (
+        q_description_words,
+        f"""{P}, words AS (SELECT DISTINCT lower(unnest(string_split(text, ' '))) AS keyword FROM benchmark)
+SELECT id, count(*) AS n_words FROM postings JOIN words ON keyword <> '' AND contains(lower(description), keyword)
+GROUP BY id""",
+    ),
+    "filter_long_lists": (
+        q_long_lists,
+        f"""{P}, words AS (SELECT DISTINCT keyword FROM (SELECT unnest(string_split(text, ' ')) AS keyword FROM benchmark)
+  WHERE length(keyword) >= 11)
+SELECT id, title, company FROM postings p WHERE EXISTS (SELECT 1 FROM part WHERE contains(lower(p.title), lower(p_name)))
+  AND NOT EXISTS (SELECT 1 FROM words WHERE contains(coalesce(lower(p.description), ''), lower(keyword)))""",
+    ),
+    "join_search_table": (
+        q_search_table,
+        f"""{P}, searches AS ({SEARCH_TABLE.format(part='part').strip()}),
+latest AS (SELECT max(date_posted) AS as_of FROM postings)
+SELECT id, search_no, search_term FROM postings p, searches s, latest
+WHERE (coalesce(search_term, '') = '' OR contains(lower(title), lower(search_term)))
+  AND (coalesce(trim(s.location), '') = '' OR contains(lower(p.location), lower(trim(s.location))))
+  AND (s.is_remote IS NULL OR p.is_remote IS NULL OR s.is_remote = p.is_remote)
+  AND (hours_old IS NULL OR date_posted >= as_of - to_hours(hours_old))
+  AND (s.job_type = '' OR s.job_type = p.job_type)""",
+    ),
     "topn_per_search": (
         lambda v: ranking.topn_per_search(hits(v), largest=50).select(
             "id", "title", "company", "location", "search_no"

@@ -127,7 +127,7 @@ def filter_chain(postings: DataFrame, rules: FilterRules, seen: DataFrame | None
     return kept
 
 
-# Longest keyword list of a table, in entries, that is sent to every task.
+# Longest keyword list of a table, in entries, that is sent to every task; longer ones are joined.
 WORDS_LIMIT = 10_000
 # Lists by name: the column they test and whether a hit lets a posting pass.
 TABLE_LISTS = {
@@ -148,23 +148,28 @@ def held_in(text: Column, words: Column) -> Column:
 def filter_by_tables(postings: DataFrame, lists: DataFrame) -> DataFrame:
     """The keyword filters with their lists as a table (``list_name``, ``keyword``).
 
-    Nothing is collected: the words of a list are one array that a subquery gives to the scan, and
-    its length is checked there.  An empty list lets all pass; empty keywords, and lists for a
-    column that the postings don't have, are left out.  The company list is matched exactly by a join and may have any length.
+    The words of a list of up to ``WORDS_LIMIT`` entries are one array that a subquery gives to the
+    scan; a longer list is joined by ``keyword_join``, with the same result.  Lists have any length.
+    An empty list lets all pass; empty keywords, and lists for a column that the postings don't have,
+    are left out.  The company list is matched exactly by a join.
     """
+    from fitrank.operators.keyword_join import filter_by_keyword_table  # it uses this module
+
     keyword = F.lower(F.trim("keyword"))
+    names = lists.where(keyword != "").groupBy("list_name").count().where(F.col("count") > WORDS_LIMIT)
+    long = {row.list_name for row in names.where(F.col("list_name").isin([*TABLE_LISTS])).collect()}
     for name, (column, passes) in TABLE_LISTS.items():
         if column not in postings.columns:
             continue
         own = lists.where((F.col("list_name") == name) & (keyword != ""))
+        if name in long:
+            postings = filter_by_keyword_table(postings, own, column, passes)
+            continue
         word = keyword if column == "location" else F.lower("keyword")
         words = F.collect_set(word)
-        checked = F.when(F.size(words) <= WORDS_LIMIT, words).otherwise(
-            F.raise_error(F.lit(f"{name} has more than {WORDS_LIMIT} keywords"))
-        )
         text = norm_key(F.col(column)) if column == "location" else F.coalesce(F.lower(column), F.lit(""))
         # A subquery may not stand inside an array function, so it becomes a column first.
-        given = postings.withColumn("_words", own.agg(checked.alias("words")).scalar())
+        given = postings.withColumn("_words", own.agg(words.alias("words")).scalar())
         hit = held_in(text, F.col("_words"))
         keep = (F.size("_words") == 0) | hit if passes else ~hit
         postings = given.where(keep).drop("_words")
