@@ -9,7 +9,7 @@ from fitrank.config import DEFAULT_STEPS, ScoreStep
 from fitrank.functions import text as TX
 from fitrank.functions.answers import SCORE_LINE
 from fitrank.functions.fixed_values import ANSWER_PROMPT, ENGLISH_STOP_WORDS, TECH_TERMS
-from fitrank.operators import joins, plugins, ranking, scoring, shaping, tfidf
+from fitrank.operators import joins, plugins, profiles_join, ranking, scoring, shaping, tfidf
 from fitrank.plans.scoring import score_postings
 
 P = duckdb_with("postings")
@@ -212,6 +212,28 @@ scored AS (SELECT o.item_id, sum(o.tf * i.idf * w.tf * i.idf) / (sqrt(sum((o.tf
     * (SELECT len FROM plen)) AS score
   FROM other o JOIN idf i USING (term) LEFT JOIN wanted w USING (term) GROUP BY o.item_id)
 SELECT b.item_id, round(coalesce(s.score, 0e0), 6) AS score FROM benchmark b LEFT JOIN scored s USING (item_id)""",
+    ),
+    "top_postings": (
+        lambda v: six(
+            profiles_join.top_postings(
+                v.postings, v.table("benchmark"), 20, profile_key="item_id"
+            ),
+            "score",
+        ),
+        f"""{P}, {TOKENS_SQL}, other AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id,
+  unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT * FROM other WHERE term NOT IN (SELECT term FROM stop)),
+tf AS (SELECT id, term, count(*) AS tf FROM tokens GROUP BY id, term),
+n AS (SELECT count(*) AS n FROM postings), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT id, term, tf * (ln((1e0 + n) / (1e0 + df)) + 1e0) AS x FROM tf JOIN df USING (term), n),
+wanted AS (SELECT item_id, term, tf * (ln((1e0 + n) / (1e0 + coalesce(df, 0))) + 1e0) AS x
+  FROM asked LEFT JOIN df USING (term), n),
+len AS (SELECT id, sqrt(sum(x * x)) AS len FROM weights GROUP BY id),
+own AS (SELECT item_id, sqrt(sum(x * x)) AS len FROM wanted GROUP BY item_id),
+scores AS (SELECT item_id, id, sum(w.x * a.x) / any_value(len.len * own.len) AS score
+  FROM weights w JOIN wanted a USING (term) JOIN len USING (id) JOIN own USING (item_id) GROUP BY item_id, id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, id) AS INT) AS rank, id,
+  round(score, 6) AS score FROM scores QUALIFY rank <= 20""",
     ),
     "embedding_cosine": (
         q_semantic,
