@@ -44,8 +44,9 @@ ORDER = 5
 LEAST = 100
 TOP = 2000
 PLACES = 26  # the table of frequent words and pairs has 2^26 bits
-SLICE = 4 << 20
-HELD = 2_000_000  # counted grams of a task
+SLICE = 1 << 19
+HELD = 1_000_000  # counted grams or hashes of a task
+SENT = 1 << 16  # rows of a batch
 PARTS = 64  # parts of a language that are ranked before it is ranked whole
 DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -79,7 +80,7 @@ class Powers:
 
 
 class Words:
-    """The words of a slice: text, place, two hashes with the language, and whether another follows."""
+    """The words of a slice: text, place, hashes with the language, and whether another follows."""
 
     def __init__(self, texts: list[bytes], langs: list[str], powers: list[Powers]):
         points = SMALL[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
@@ -94,16 +95,17 @@ class Words:
         self.langs = np.array([names[lang] for lang in langs], np.int64)[self.owners]
         salts = np.array([int.from_bytes(hash_of(lang), "big") for lang in names], np.uint64)
         wide = points.astype(np.uint64)
-        self.first, self.second = (
+        self.hashes = [
             mixed(power.hashes(wide, self.starts, self.ends) + salts[self.langs] * np.uint64(i + 1))
             for i, power in enumerate(powers)
-        )
+        ]
         pieces = np.searchsorted(np.flatnonzero(kinds == 2), self.starts)
         self.followed = np.append(pieces[1:] == pieces[:-1], False)[: len(self.starts)]
 
     def pairs(self) -> np.ndarray:
         """A hash of each word and the next one."""
-        return mixed(mixed(self.first) + np.append(self.first[1:], np.uint64(0)))
+        first = self.hashes[0]
+        return mixed(mixed(first) + np.append(first[1:], np.uint64(0)))
 
 
 def hash_of(name: str) -> bytes:
@@ -112,11 +114,11 @@ def hash_of(name: str) -> bytes:
     return hashlib.blake2b(name.encode(), digest_size=8).digest()
 
 
-def word_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Words]:
-    """Words of about ``limit`` bytes at once; longer texts are cut between pieces."""
+def word_slices(batches: Iterator[pa.RecordBatch], limit: int, hashes: int) -> Iterator[Words]:
+    """Words of about ``limit`` bytes at once, with one or two hashes; longer texts are cut between pieces."""
     import re
 
-    powers = [Powers(base) for base in BASES]
+    powers = [Powers(base) for base in BASES[:hashes]]
     between = re.compile(b"[" + re.escape(DELIMITERS) + b"]")
     texts, langs, size = [], [], 0
     for batch in batches:
@@ -147,31 +149,33 @@ def hash_counts(batches: Iterator[pa.RecordBatch], limit: int, held: int) -> Ite
     """Counts of the hashes of words and pairs, and the number of words of each language."""
     kept, size, words = [], 0, Counter()
 
-    def passed(hashes, counts, lang=None):
-        return as_batch(
-            {
-                "lang": pa.array([lang] * len(hashes), pa.string()),
-                "hash": pa.array(hashes.view(np.int64)),
-                "count": pa.array(counts),
-            }
-        )
+    def passed(hashes, counts):
+        for at in range(0, len(hashes), SENT):
+            some = hashes[at : at + SENT]
+            columns = {"lang": pa.nulls(len(some), pa.string()), "hash": pa.array(some.view(np.int64))}
+            yield as_batch(columns | {"count": pa.array(counts[at : at + SENT])})
 
-    for some in word_slices(batches, limit):
+    for some in word_slices(batches, limit, 1):
         for lang, count in zip(some.names, np.bincount(some.langs, minlength=len(some.names)).tolist()):
             words[lang] += count
-        both = np.concatenate([some.first, some.pairs()[some.followed]])
+        both = np.concatenate([some.hashes[0], some.pairs()[some.followed]])
         kept.append(summed(both, np.ones(len(both), np.int64)))
         size += len(kept[-1][0])
         if size > held:
             hashes, counts = summed(*(np.concatenate(x) for x in zip(*kept)))
             kept, size = [(hashes, counts)], len(hashes)
             if size > held // 2:
-                yield passed(hashes, counts)
+                yield from passed(hashes, counts)
                 kept, size = [], 0
     if kept:
-        yield passed(*summed(*(np.concatenate(x) for x in zip(*kept))))
-    for lang, count in words.items():
-        yield passed(np.zeros(1, np.uint64), np.array([count]), lang)
+        yield from passed(*summed(*(np.concatenate(x) for x in zip(*kept))))
+    yield as_batch(
+        {
+            "lang": pa.array(list(words), pa.string()),
+            "hash": pa.array([0] * len(words), pa.int64()),
+            "count": pa.array(list(words.values()), pa.int64()),
+        }
+    )
 
 
 def frequent_places(counts: DataFrame, least: int) -> np.ndarray:
@@ -194,7 +198,7 @@ def is_frequent(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (cells[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
 
-Grams = tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]  # two hashes, counts, texts
 
 
 def united(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray, rows):
@@ -213,15 +217,15 @@ def longest_grams(words: Words, cells: np.ndarray) -> Grams:
     breaks = np.flatnonzero(~(words.followed & is_frequent(words.pairs(), cells)))
     to_end = breaks[np.searchsorted(breaks, np.arange(size))] - np.arange(size) + 1
     lengths = np.minimum(to_end, ORDER)
-    at = np.flatnonzero((lengths > 1) | is_frequent(words.first, cells))
+    at = np.flatnonzero((lengths > 1) | is_frequent(words.hashes[0], cells))
     lengths = lengths[at]
-    first, second = words.first[at], words.second[at]
+    first, second = (word[at] for word in words.hashes)
     for i in range(1, ORDER):
         has = lengths > i
-        first[has] = mixed(first[has]) + words.first[at[has] + i]
-        second[has] = mixed(second[has]) + words.second[at[has] + i]
+        for gram, word in zip((first, second), words.hashes, strict=True):
+            gram[has] = mixed(gram[has]) + word[at[has] + i]
 
-    def rows(places: np.ndarray) -> pa.RecordBatch:
+    def rows(places: np.ndarray) -> pa.Table:
         own, count = at[places], lengths[places]
         last = own + count - 1
         before = np.append(0, np.cumsum(words.ends - words.starts))
@@ -235,7 +239,7 @@ def longest_grams(words: Words, cells: np.ndarray) -> Grams:
             )
         ]
         langs = pa.DictionaryArray.from_arrays(pa.array(words.langs[own]), pa.array(words.names))
-        return as_batch(
+        return pa.table(
             {
                 "lang": langs.cast(pa.string()),
                 "gram": pa.array(texts, pa.binary()).cast(pa.string()),
@@ -252,24 +256,24 @@ def gram_counts(
     kept: list[Grams] = []
 
     def merged() -> Grams:
-        table = pa.Table.from_batches([part[3] for part in kept])
+        table = pa.concat_tables([part[3] for part in kept])
         return united(
             *(np.concatenate([part[i] for part in kept]) for i in range(3)),
-            lambda places: table.take(pa.array(places)).combine_chunks().to_batches(),
+            lambda places: table.take(pa.array(places)).combine_chunks(),
         )
 
-    def passed() -> Iterator[pa.RecordBatch]:
-        _, _, counts, parts = merged()
-        for part in parts:  # one, or none
-            yield as_batch({name: part.column(name) for name in part.schema.names} | {"count": pa.array(counts)})
+    def passed(grams: Grams) -> Iterator[pa.RecordBatch]:
+        yield from grams[3].append_column("count", pa.array(grams[2])).to_batches(SENT)
 
-    for words in word_slices(batches, limit):
+    for words in word_slices(batches, limit, 2):
         kept.append(longest_grams(words, cells))
         if sum(len(part[0]) for part in kept) > held:
-            yield from passed()
-            kept = []
+            kept = [merged()]
+            if len(kept[0][0]) > held // 2:
+                yield from passed(kept[0])
+                kept = []
     if kept:
-        yield from passed()
+        yield from passed(merged())
 
 
 def narrow_texts(docs: DataFrame, text_column: str, lang_column: str) -> DataFrame:
@@ -291,6 +295,7 @@ def edges(
     texts = narrow_texts(docs, text_column, lang_column)
     counts = (
         texts.mapInArrow(lambda x: hash_counts(x, limit, held), "lang string, hash bigint, count bigint")
+        .repartition("hash")  # counted in the tasks, so that another sum before the shuffle gains little
         .groupBy("lang", "hash")
         .agg(F.sum("count").alias("count"))
     )
