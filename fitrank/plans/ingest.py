@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ from fitrank.operators.ranking import first_per_key, join_searches, topn_per_sea
 from fitrank.functions.text import norm_key
 from fitrank.session import new_scratch
 from fitrank.sources.postings import write_postings
-from fitrank.sources.seen import write_seen
+from fitrank.sources.seen import write_run_ids
 
 TEXT_KEY = "_text_key"
 
@@ -123,13 +124,19 @@ def run_ingest(
     out_path: str,
     seen_path: str,
     lookback: Lookback | None = None,
+    run_id: str | None = None,
 ) -> DataFrame:
-    """Write new postings and their manifest, then the ids of everything fetched.
+    """Write new postings, the ids of everything fetched, and the manifest that commits both.
+
+    A run that breaks off before its manifest has written nothing that ``read_run`` or ``read_seen``
+    would take.  Run again, under the same ``run_id`` or another, it loses no posting and repeats none;
+    under the same one it replaces what it left.  ``seen`` is to come from ``read_seen``.
 
     The narrow fetched rows are written to the shared folder once, as both the output and the
     state derive from them.
     """
     spark = pool.sparkSession
+    run = run_id or uuid.uuid4().hex
     lookback = lookback or Lookback(start=searches[0].hours_old)
     scratch = new_scratch(spark, "fetched")
     fetch(pool, searches, rules, as_of, lookback).write.parquet(scratch)
@@ -137,8 +144,12 @@ def run_ingest(
 
     fresh = fresh_rows(fetched, seen, rules)
     kept = within_chosen(fresh, lookback, ("search_no", "id"))
-    manifest = write_postings(with_text(kept, pool), out_path, searches)
     firsts = first_per_key(fresh, ("pass_no", "search_no", "id"))
     chosen = chosen_pass(firsts, lookback).scalar()
-    write_seen(fetched.where(F.col("pass_no") <= chosen), seen, seen_path)
-    return manifest
+
+    def write_ids() -> None:
+        write_run_ids(fetched.where(F.col("pass_no") <= chosen), seen, seen_path, out_path, run)
+
+    return write_postings(
+        with_text(kept, pool), out_path, searches, run_id=run, before_commit=write_ids
+    )

@@ -24,32 +24,43 @@ from fitrank.operators.tfidf import tfidf_cosine
 Step = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
 
+def _options(options: dict, *names: str) -> dict:
+    """The options of a step; one that it doesn't know is an error and not left out in silence."""
+    unknown = sorted(set(options) - set(names))
+    if unknown:
+        raise ValueError(f"unknown options {unknown}; valid: {sorted(names)}")
+    return options
+
+
+def _keywords(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
+    return keyword_match(postings, profile, **_options(options, "tech_terms", "stop_words"))
+
+
 def _tfidf(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
     """Takes kept corpus statistics by ``frequencies`` and ``n_docs``."""
-    how = {k: options[k] for k in ("frequencies", "n_docs") if k in options}
-    return tfidf_cosine(postings, profile, **how)
+    return tfidf_cosine(postings, profile, **_options(options, "stop_words", "frequencies", "n_docs"))
 
 
 def _semantic(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
     """Uses given ``vectors`` and ``profile_vector``, else an encoder plug-in."""
-    if "vectors" in options:
-        return embedding_cosine(postings, options["vectors"], options["profile_vector"])
-    how = {k: options[k] for k in ("model", "factory", "use_prefix") if k in options}
+    how = _options(options, "vectors", "profile_vector", "model", "factory", "use_prefix")
+    if "vectors" in how:
+        return embedding_cosine(postings, how["vectors"], how["profile_vector"])
     vectors = embed_postings(postings, **how)
     return embedding_cosine(postings, vectors, profile_vector(profile, **how))
 
 
 def _pairs(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
-    how = {k: options[k] for k in ("model", "factory", "max_chars") if k in options}
+    how = _options(options, "model", "factory", "max_chars", "window")
     return pair_score(postings, profile, **how)
 
 
 def _answers(postings: DataFrame, profile: DataFrame, options: dict) -> DataFrame:
-    return join_responses(postings, options["responses"])
+    return join_responses(postings, **_options(options, "responses", "max_chars"))
 
 
 STEPS: dict[str, Step] = {
-    "keyword_match": lambda df, profile, _: keyword_match(df, profile),
+    "keyword_match": _keywords,
     "tfidf_cosine": _tfidf,
     "semantic_score": _semantic,
     "cross_encoder_score": _pairs,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +36,12 @@ def write_postings(
     searches: Sequence[Search],
     form: str = "parquet",
     run_id: str | None = None,
+    before_commit: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Write the rows of one run and then its one-row manifest; return the manifest.
 
+    ``before_commit`` is called between the two and may write what the manifest is to commit too.
+
     The manifest comes last and so marks a complete run.  Its figures are read from the written
     rows and not from a second evaluation of the plan.  If rows tell the window they were found
     with (``hours_old``), the criteria show by how much the windows were widened in the end.
@@ -76,6 +79,8 @@ def write_postings(
         F.array(*[criteria(s) for s in searches]).alias("search_criteria"),
         "total_new_jobs",
     )
+    if before_commit:
+        before_commit()
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/run_id={run}")
     return read_manifest(spark, path).where(F.col("run_id") == run)
 
