@@ -82,7 +82,7 @@ def _has_manifest(spark: SparkSession, out_path: str) -> bool:
     return True
 
 
-def _new_ids(raw: DataFrame, seen: DataFrame) -> DataFrame:
+def new_ids(raw: DataFrame, seen: DataFrame) -> DataFrame:
     ids = raw.select(F.col("id").cast("string").alias("id")).where(F.col("id").isNotNull())
     return ids.distinct().join(seen.select("id"), "id", "left_anti")
 
@@ -93,7 +93,7 @@ def write_seen(raw: DataFrame, seen: DataFrame, path: str) -> None:
     Appending writes new ids only; the table is never rewritten.  Run it after the output is
     committed: a run that fails in between repeats its postings instead of losing them.
     """
-    _new_ids(raw, seen).write.mode("append").parquet(path)
+    new_ids(raw, seen).write.mode("append").parquet(path)
 
 
 def write_run_ids(raw: DataFrame, seen: DataFrame, path: str, out_path: str, run_id: str) -> None:
@@ -101,7 +101,7 @@ def write_run_ids(raw: DataFrame, seen: DataFrame, path: str, out_path: str, run
 
     Written again under the same ``run_id`` they replace those of the run.
     """
-    _new_ids(raw, seen).write.mode("overwrite").parquet(run_folder(path, out_path, run_id))
+    new_ids(raw, seen).write.mode("overwrite").parquet(run_folder(path, out_path, run_id))
 
 
 def compact_seen(spark: SparkSession, path: str, into: str, files: int) -> None:
