@@ -15,13 +15,20 @@ each shingle instead of a signature.  Candidates are then verified on all shingl
 Rows are known by the hash of their text, not by their ids, so null and repeated ids are right and
 copies of a text share the work.  Main path: DataFrame functions only.
 
-Defined results: a text of one to four words has one shingle, all its words; null texts and texts
-without a word have none and are in no result; items of one text are all reported; repeated rows of
-a document are reported each.
+An item of fewer than five words is one shingle, the run of all its words, and is looked up among all
+runs of that length.  Documents make such runs only for the lengths that occur among the items, in the
+same pass.  An item of fewer than ``least`` words (two, unless told otherwise) says too little to be
+searched in longer texts: it is found in documents that consist of just its words.
+
+Defined results: null texts and texts without a word have no shingle and are in no result; items of
+one text are all reported; repeated rows of a document are reported each; texts of any length are
+read whole, with one row of 8 bytes for each shingle; no documents or no items give no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -31,6 +38,7 @@ from fitrank.llm.scratch import settle
 
 WORDS = 5
 THRESHOLD = 0.8
+LEAST_WORDS = 2  # of an item that is searched inside longer texts
 NOT_WORD = r"[^\p{L}\p{N}]+"
 KEY = ("key_a", "key_b")
 
@@ -44,36 +52,70 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_WORD), lambda word: word != "")
 
 
-def shingle_hashes(words: Column) -> Column:
-    """The hash of each run of five words, in order, with repeats; of all words if there are fewer."""
+def runs_of(words: Column, length: int) -> Column:
+    """The hash of each run of so many words, in order, with repeats; none if there are fewer."""
     runs = F.transform(
-        F.sequence(F.lit(1), F.size(words) - (WORDS - 1)),
-        lambda at: F.xxhash64(*(F.get(words, at + (i - 1)) for i in range(WORDS))),
-    )
-    return (
-        F.when(F.size(words) >= WORDS, runs)
-        .when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " "))))
-        .otherwise(F.array().cast("array<bigint>"))
+        F.sequence(F.lit(1), F.size(words) - (length - 1)),
+        lambda at: F.xxhash64(*(F.get(words, at + (i - 1)) for i in range(length))),
     )
+    return F.when(F.size(words) >= length, runs).otherwise(F.array().cast("array<bigint>"))
+
 
+def whole_run(words: Column, least: int) -> Column:
+    """The hash of all words of a text that has fewer than ``least`` of them."""
+    whole = F.array(F.xxhash64(F.lit("whole"), F.array_join(words, " ")))
+    short = (F.size(words) > 0) & (F.size(words) < least)
+    return F.when(short, whole).otherwise(F.array().cast("array<bigint>"))
 
-def shingle_rows(texts: DataFrame) -> DataFrame:
+
+def shingle_rows(texts: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
     """A row with ``shingle`` for each shingle of each ``text``; the other columns are kept."""
     # The words are an own column that isn't computed again for each use.
     split = texts.withColumn("words", words_of(F.col("text"))).drop("text")
     return split.select(
         *[c for c in split.columns if c != "words"],
-        F.explode(shingle_hashes(F.col("words"))).alias("shingle"),
+        F.explode(shingles(F.col("words"))).alias("shingle"),
     )
 
 
-def item_shingles(items: DataFrame) -> DataFrame:
+def of_item(least: int) -> Callable[[Column], Column]:
+    """The shingles of an item: runs of five words, or one run of all its words."""
+
+    def shingles(words: Column) -> Column:
+        found = runs_of(words, WORDS)
+        for length in range(least, WORDS):
+            found = F.when(F.size(words) == length, runs_of(words, length)).otherwise(found)
+        return F.when(F.size(words) < least, whole_run(words, least)).otherwise(found)
+
+    return shingles
+
+
+def of_document(lengths: list[int], least: int) -> Callable[[Column], Column]:
+    """The shingles of a document: runs of five words and of the lengths of the short items."""
+
+    def shingles(words: Column) -> Column:
+        runs = [runs_of(words, length) for length in (WORDS, *lengths) if length >= least]
+        if any(length < least for length in lengths):
+            runs.append(whole_run(words, least))
+        return F.concat(*runs) if len(runs) > 1 else runs[0]
+
+    return shingles
+
+
+def short_lengths(items: DataFrame) -> list[int]:
+    """The numbers of words below five that occur among the items: at most four numbers."""
+    n_words = F.size(words_of(F.col("text").cast("string")))
+    short = items.select(n_words.alias("n")).filter(F.col("n").between(1, WORDS - 1))
+    return sorted(row.n for row in short.distinct().collect())
+
+
+def item_shingles(items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``item_key``, ``shingle``, ``n_shingles`` of each different item text, and whether the
     shingle is in the item's ``sketch``."""
     keyed = items.filter(F.col("text").isNotNull()).select(
         F.xxhash64("text").alias("item_key"), F.col("text").cast("string").alias("text")
     )
-    rows = shingle_rows(keyed).distinct()
+    rows = shingle_rows(keyed, of_item(least)).distinct()
     by_hash = Window.partitionBy("item_key").orderBy("shingle")
     sized = rows.withColumns(
         {
@@ -89,19 +131,21 @@ def item_shingles(items: DataFrame) -> DataFrame:
     )
 
 
-def candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
+def candidates(texts: DataFrame, items: DataFrame, shingles: Callable[[Column], Column]) -> DataFrame:
     """The pairs of text key and item key that share a shingle of the item's sketch."""
     sketches = items.filter("sketch").select("shingle", "item_key")
     keyed = texts.select(*text_key(F.col("text")), "text")
-    return shingle_rows(keyed).join(sketches, "shingle").select(*KEY, "item_key").distinct()
+    return shingle_rows(keyed, shingles).join(sketches, "shingle").select(*KEY, "item_key").distinct()
 
 
-def verified(texts: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(
+    texts: DataFrame, items: DataFrame, pairs: DataFrame, shingles: Callable[[Column], Column]
+) -> DataFrame:
     """The candidate pairs with ``n_shared`` and ``n_shingles``, at the threshold or above."""
     wanted = pairs.select(*KEY).distinct()
     keyed = texts.select(*text_key(F.col("text")), "text").join(wanted, list(KEY), "left_semi")
     shared = (
-        shingle_rows(keyed)
+        shingle_rows(keyed, shingles)
         .join(items.select("shingle", "item_key", "n_shingles"), "shingle")
         .groupBy(*KEY, "item_key", "n_shingles")
         .agg(F.countDistinct("shingle").alias("n_shared"))
@@ -110,17 +154,21 @@ def verified(texts: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
     return shared.join(pairs, [*KEY, "item_key"], "left_semi").filter(enough)
 
 
-def found_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+def found_texts(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """Keys of texts with the items found in them: ``key_a``, ``key_b``, ``item_key``, counts."""
+    if least < 1:
+        raise ValueError("least is a number of words from one")
+    least = min(least, WORDS)
     texts = docs.select(docs["text"].cast("string").alias("text")).filter(F.col("text").isNotNull())
-    shingles = settle(item_shingles(items), "items")
-    pairs = settle(candidates(texts, shingles), "pairs")
-    return settle(verified(texts, shingles, pairs), "found")
+    wanted = settle(item_shingles(items, least), "items")
+    shingles = of_document(short_lengths(items), least)
+    pairs = settle(candidates(texts, wanted, shingles), "pairs")
+    return settle(verified(texts, wanted, pairs, shingles), "found")
 
 
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_shared``, ``n_shingles`` and ``containment`` of all finds."""
-    found = found_texts(docs, items)
+    found = found_texts(docs, items, least)
     named = items.select("item_id", F.xxhash64("text").alias("item_key"))
     ids = docs.select("doc_id", *text_key(docs["text"].cast("string")))
     return (
@@ -137,9 +185,9 @@ def search(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 @columns_apart("text")
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    found = found_texts(docs, items).select(*KEY).distinct()
+    found = found_texts(docs, items, least).select(*KEY).distinct()
     hashes = text_key(docs["text"].cast("string"))
     names = [f"{name}__" for name in KEY]
     keyed = docs.withColumns(dict(zip(names, hashes, strict=True)))
@@ -148,18 +196,20 @@ def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 ORACLE = f"""
-WITH words AS (SELECT doc_id, NULL AS item_id, list_filter(regexp_split_to_array(lower(text),
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text),
         '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 tested AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
         lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-doc_sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))
-    END) AS s FROM words WHERE len(w) > 0),
-item_sets AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < {WORDS} THEN
-    [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {WORDS - 2}),
-    lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS s FROM tested WHERE len(w) > 0),
+doc_sets AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - {WORDS - 2}),
+    lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS s FROM words WHERE len(w) >= {WORDS}),
+item_sets AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - {WORDS - 2}),
+    lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) AS s FROM tested WHERE len(w) >= {WORDS}),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_sets GROUP BY item_id)
 SELECT doc_id, d.item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
 FROM (SELECT doc_id, i.item_id, count(*) AS n_shared FROM doc_sets d JOIN item_sets i ON d.s = i.s
     GROUP BY doc_id, i.item_id) d JOIN sizes z ON d.item_id = z.item_id
-WHERE n_shared >= n_shingles * {THRESHOLD} - 1e-9"""
+WHERE n_shared >= n_shingles * {THRESHOLD} - 1e-9
+UNION ALL
+SELECT doc_id, item_id, 1, 1, 1.0 FROM words d JOIN tested t ON len(t.w) BETWEEN 1 AND {WORDS - 1}
+    AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(t.w, ' ') || ' ')
+    AND (len(t.w) >= {LEAST_WORDS} OR len(d.w) = len(t.w))"""

@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 import regex
@@ -184,8 +185,11 @@ def test_containment_equals_brute_force(spark):
     texts += ["Tiny, one.", "tiny one two", ""]
     found = containment.search(documents(spark, texts), item_table(spark, [" ".join(i) for i in items]))
     sets = [set(plain_shingles(t)) for t in texts]
-    want = set()
-    for j, item in enumerate(items):
+    tiny = len(items) - 1
+    assert items[tiny] == ["tiny", "one"]
+    want = {(i, tiny, 1) for i, t in enumerate(texts) if regex.search(r"(?i)\btiny,? one\b", t)}
+    assert {(len(texts) - 3, tiny, 1), (len(texts) - 2, tiny, 1)} < want
+    for j, item in enumerate(items[:tiny]):
         own = set(plain_shingles(" ".join(item)))
         want |= {(i, j, len(own & s)) for i, s in enumerate(sets) if len(own & s) >= 0.8 * len(own)}
     got = rows(found.select("doc_id", "item_id", "n_shared"))
@@ -209,6 +213,55 @@ def test_containment_of_odd_rows(spark):
 def test_containment_plan_is_native(spark):
     docs, items = given(spark, "documents"), given(spark, "benchmark")
     shingles = containment.item_shingles(items)
-    plan = containment.candidates(docs.select("text"), shingles)
+    lengths = containment.of_document([1, 3], 2)
+    plan = containment.candidates(docs.select("text"), shingles, lengths)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert not any(word in text for word in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+SHORT_ITEMS = ["forty two", "Paris", "to be or", "one two three four", "one two three four five", "...", None]
+SHORT_TEXTS = [
+    "The answer is forty-two indeed, said the book of many words",
+    "forty  two",
+    "forty, and then two",
+    "twoforty two",
+    "Paris!",
+    "Paris is a town",
+    "whether to be or not to be or what",
+    "zero one two three four six",
+    "zero one two three four five six",
+    "two three four",
+    "",
+    None,
+]
+
+
+def plain_finds(least):
+    found = set()
+    for i, text in enumerate(SHORT_TEXTS):
+        have = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+        for j, item in enumerate(SHORT_ITEMS):
+            want = regex.findall(r"[\p{L}\p{N}]+", (item or "").lower())
+            n = len(want)
+            inside = any(have[k : k + n] == want for k in range(len(have) - n + 1))
+            if want and inside and (n >= least or len(have) == n):
+                found.add((i, j))
+    return found
+
+
+@pytest.mark.parametrize("least", [1, 2, 4, 5, 9])
+def test_short_items_inside_long_texts(spark, least):
+    found = containment.search(documents(spark, SHORT_TEXTS), item_table(spark, SHORT_ITEMS), least)
+    got = rows(found.select("doc_id", "item_id"))
+    assert len(got) == len(set(got)) and set(got) == plain_finds(min(least, 5))
+    assert (0, 0) in plain_finds(2) and (5, 1) in plain_finds(1) - plain_finds(2)
+
+
+def test_the_sql_finds_the_same_short_items(spark):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(SHORT_TEXTS)))
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", list(enumerate(SHORT_ITEMS)))
+    got = {tuple(row) for row in con.execute(ORACLES["op3_containment"]).fetchall()}
+    assert got == {(i, j, 1, 1, 1.0) for i, j in plain_finds(2)}
