@@ -6,26 +6,35 @@ from hosts with blocked pages against the direction of links, to those who link
 starts with the share of its pages that rules allow (trust) or block (distrust); a host is blocked
 whose distrust reaches the threshold and exceeds its trust.
 
+Scores only grow from step to step, and what is still to come shrinks: as the shares of a giver sum to
+one at most, all changes together fall to ``DAMPING`` of the last ones in each step.  So after a step a
+host's distance from its final score has a bound, and the steps end when no host's verdict can
+change any more, however long that takes; hosts that nobody gives to are final at once.  A host whose
+verdict hangs on a tie is left when the bound is a billionth of all that the hosts start with.
+
 Everything is joins and sums over (host, host) edges that are counted before they are shuffled.  A
 host with a great share of all links is one row for each linked host in the edge table; sums are
 partly made before the shuffle and joins are left to adaptive skew handling.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is
 allowed, as is any host without evidence; repeated rows are judged each, null ids too; links without
-a host of their own and links of a host to itself are no edges.
+a host of their own and links of a host to itself are no edges.  Of rules of one length the later one
+in the list counts.  Pages of any size are read whole, for their links; no pages give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitrank.llm.scratch import settle
 
 DAMPING = 0.85
-STEPS = 20
 STEPS_AT_ONCE = 5  # steps in one plan, before its rows are written and read back
-UNCHANGED = 1e-9
+UNCHANGED = 1e-9  # part of the sum of all starting scores that counts as nothing
+KINDS = ("trust", "distrust")
 BLOCK_FROM = 0.5  # distrust of a host, where 1 is a host with nothing but blocked pages
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -106,30 +115,73 @@ def step(scores: DataFrame, links: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.unionAll(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, steps: int = STEPS) -> DataFrame:
-    """``kind``, ``host`` and ``score`` after the given number of steps, or when nothing changes."""
+def trust_sums(scores: DataFrame) -> DataFrame:
+    """A row for each host with its ``trust`` and ``distrust``."""
+    return scores.groupBy("host").agg(
+        *[
+            F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
+            for kind in KINDS
+        ]
+    )
+
+
+def is_blocked(distrust: Column, trust: Column) -> Column:
+    return (distrust >= BLOCK_FROM) & (distrust > trust)
+
+
+def undecided(scores: DataFrame, takers: DataFrame, left: dict[str, float]) -> bool:
+    """Whether the verdict of a host can change, if each score may still grow by what is ``left``.
+
+    Only hosts that take from others grow; one without a score yet may reach the threshold too.
+    """
+    if left["distrust"] >= BLOCK_FROM:
+        return True
+    hosts = trust_sums(scores).join(takers, "host")
+    most = {k: F.col(k) + F.when(F.col(f"takes_{k}"), left[k]).otherwise(0.0) for k in KINDS}
+    surely = is_blocked(F.col("distrust"), most["trust"])
+    possibly = is_blocked(most["distrust"], F.col("trust"))
+    return not hosts.filter(possibly & ~surely).isEmpty()
+
+
+def spread(seeds: DataFrame, edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """``kind``, ``host`` and ``score`` after so many steps, or when no verdict can change any more."""
     links = settle(directed(edges), "links")
     seeds = settle(seeds, "seeds")
-    scores = seeds
-    for begun in range(0, steps, STEPS_AT_ONCE):
+    takers = links.groupBy(F.col("taker").alias("host")).agg(
+        *[F.max(F.col("kind") == kind).alias(f"takes_{kind}") for kind in KINDS]
+    )
+    takers = settle(takers, "takers")
+    sums = {row.kind: row.total for row in seeds.groupBy("kind").agg(F.sum("score").alias("total")).collect()}
+    nothing = UNCHANGED * max(sums.values(), default=0.0)
+    # After so many steps what is left is below that for certain, whatever rounding does to the sums.
+    enough = math.ceil(math.log(UNCHANGED * (1 - DAMPING)) / math.log(DAMPING))
+    scores, done, wanted = seeds, 0, enough if steps is None else steps
+    while done < wanted:
+        now = min(STEPS_AT_ONCE, wanted - done)
         before, after = scores, scores
-        for _ in range(min(STEPS_AT_ONCE, steps - begun)):
+        for _ in range(now):
             before, after = after, step(after, links, seeds)
+        done += now
         last = before.select("kind", "host", F.col("score").alias("old"))
-        scores = settle(
+        grown = settle(
             after.join(last, ["kind", "host"], "left").select(
                 "kind", "host", "score", (F.col("score") - F.coalesce("old", F.lit(0.0))).alias("change")
             ),
             "trust",
         )
-        most = scores.agg(F.max(F.abs("change"))).first()[0]
-        scores = scores.drop("change")
-        if most is None or most < UNCHANGED:
+        scores = grown.drop("change")
+        changes = grown.groupBy("kind").agg(F.sum(F.abs("change")).alias("total")).collect()
+        left = dict.fromkeys(KINDS, 0.0) | {
+            row.kind: row.total * DAMPING / (1 - DAMPING) for row in changes
+        }
+        if max(left.values()) <= nothing:
+            break
+        if steps is None and not undecided(scores, takers, left):
             break
     return scores
 
 
-def judge(pages: DataFrame, rules: list[Rule], steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], steps: int | None = None) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule`` and ``verdict`` of every page."""
     ruled = pages.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
@@ -158,13 +210,9 @@ def judge(pages: DataFrame, rules: list[Rule], steps: int = STEPS) -> DataFrame:
         .select("kind", "host", "score")
     )
     scores = spread(start, host_edges(pages), steps)
-    sums = scores.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust"),
+    blocked = trust_sums(scores).filter(is_blocked(F.col("distrust"), F.col("trust"))).select(
+        "host", F.lit("block").alias("by_links")
     )
-    blocked = sums.filter(
-        (F.col("distrust") >= BLOCK_FROM) & (F.col("distrust") > F.col("trust"))
-    ).select("host", F.lit("block").alias("by_links"))
     return ruled.join(blocked, "host", "left").select(
         "page_id",
         "host",
@@ -174,8 +222,11 @@ def judge(pages: DataFrame, rules: list[Rule], steps: int = STEPS) -> DataFrame:
     )
 
 
-def oracle(rules: list[Rule], steps: int = STEPS) -> str:
-    """The same rows in DuckDB SQL, one common table for each step."""
+def oracle(rules: list[Rule], terms: int = 200) -> str:
+    """The same rows in DuckDB SQL: the final scores as the sum of what paths of each length bring.
+
+    The paths end where the longest of them bring less than 0.85 ** 200, that is 1e-14 of a host.
+    """
 
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -189,14 +240,8 @@ def oracle(rules: list[Rule], steps: int = STEPS) -> str:
         return f"CASE{cases} END"
 
     low = f"{quoted(UPPER)}, {quoted(LOWER)}"
-    chain = "".join(
-        f""", s{i} AS (SELECT kind, host, sum(score) AS score FROM (SELECT kind, host, score FROM start
-            UNION ALL SELECT l.kind, l.taker, {DAMPING} * s.score * l.share FROM s{i - 1} s
-            JOIN links l ON s.kind = l.kind AND s.host = l.giver) GROUP BY kind, host)"""
-        for i in range(1, steps + 1)
-    )
     return f"""
-WITH cut AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0
     THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), {low}) AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
@@ -211,8 +256,10 @@ edges AS (SELECT src, dst, count(*) AS pages FROM linked WHERE src <> dst AND sr
 links AS (SELECT 'trust' AS kind, src AS giver, dst AS taker,
         pages / sum(pages) OVER (PARTITION BY src) AS share FROM edges
     UNION ALL SELECT 'distrust', dst, src, pages / sum(pages) OVER (PARTITION BY dst) FROM edges),
-s0 AS (SELECT * FROM start){chain},
-blocked AS (SELECT host FROM s{steps} GROUP BY host
+paths AS (SELECT 0 AS n, kind, host, score FROM start UNION ALL
+    SELECT p.n + 1, l.kind, l.taker, sum({DAMPING} * p.score * l.share) FROM paths p
+    JOIN links l ON p.kind = l.kind AND p.host = l.giver WHERE p.n < {terms} GROUP BY ALL),
+blocked AS (SELECT host FROM paths GROUP BY host
     HAVING sum(CASE WHEN kind = 'distrust' THEN score ELSE 0 END) >= {BLOCK_FROM}
     AND sum(CASE WHEN kind = 'distrust' THEN score ELSE -score END) > 0)
 SELECT page_id, r.host, path, rule,
