@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from fitrank.functions.fixed_values import ENGLISH_STOP_WORDS
 from fitrank.functions.text import is_scored_term, term_counts
 
+BITS = 64  # of a long
+
 
 def term_frequencies(
     docs: DataFrame,
@@ -46,10 +48,9 @@ def _salt_count(docs: DataFrame) -> int:
 
     A term found in every document has one of about a hundred pairs of each document, so a
     fraction of the shuffle partitions brings its parts down to the size of an average partition.
-    The parts of a term, and one of the profile, fit into the bits of one long.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(63, max(8, partitions // 64))
+    return max(8, partitions // 64)
 
 
 def tfidf_scores(
@@ -99,17 +100,24 @@ def tfidf_scores(
         F.count("tf").alias("df_part"),
         F.sum(F.when(is_profile, F.col("tf"))).alias("profile_part"),
     )
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("salt"))
+    # A bit for each salt, in as many longs as the parts and the salt of the profile take.
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("salt") % BITS)
+    words = [
+        F.bit_or(F.when(F.floor(F.col("salt") / BITS) == word, bit)).alias(f"salts{word}")
+        for word in range(parts // BITS + 1)
+    ]
     terms = counts.groupBy("term").agg(
         F.sum("df_part").alias("df"),
         F.sum("profile_part").alias("profile_tf"),
-        F.bit_or(bit).alias("salts"),
+        *words,
     )
     if frequencies is not None:
         terms = terms.drop("df").join(frequencies.select("term", "df"), "term", "left")
     # One row per salt under which a term occurs, as many as the counts had.
+    bits = F.array(*[F.coalesce(F.col(f"salts{word}"), F.lit(0)) for word in range(len(words))])
     salts = F.filter(
-        F.sequence(F.lit(0), F.lit(parts)), lambda i: F.getbit(F.col("salts"), i) == 1
+        F.sequence(F.lit(0), F.lit(parts)),
+        lambda i: F.getbit(F.get(bits, F.floor(i / BITS).cast("int")), i % BITS) == 1,
     )
     salted_terms = terms.select("term", F.explode(salts).alias("salt"), "df", "profile_tf")
 
