@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from checks.ingest_checks import CHECKS as INGEST
 from checks.io_checks import CHECKS as IO
+from checks.io_checks import flat_columns, one_per_file
 from checks.scoring_checks import CHECKS as SCORING
 from checks.scoring_checks import six
+from checks.report_checks import BRIEF_SQL, FLAT, HAY, E, brief, flat
 from checks.views import Views, duckdb_with
 from fitrank.operators import filters, tfidf
 from fitrank.session import new_scratch
-from fitrank.sources import pool, statistics
+from fitrank.schemas import EVALUATION
+from fitrank.sources import json_lists, pool, search_index, statistics
 from fitrank.sources.seen_table import SeenTable
 
 P = duckdb_with("postings")
@@ -85,7 +88,38 @@ def q_add(v: Views):
     return table.read()
 
 
+def q_json_list(v: Views):
+    """All evaluations in lists of many records, one for each company."""
+    columns = [F.col(c) for c in v.evaluations.columns]
+    lists = v.evaluations.groupBy("company").agg(F.to_json(F.collect_list(F.struct(*columns))).alias("value"))
+    path = one_per_file(lists.select("value"), new_scratch(v.spark, "json-list"), "text")
+    return flat_columns(json_lists.read_json_list(v.spark, path, EVALUATION))
+
+
+def index(v: Views) -> str:
+    path = new_scratch(v.spark, "index")
+    search_index.write_index(flat(v), path)
+    return path
+
+
+def q_search_index(v: Views):
+    return brief(search_index.search_index(v.spark, index(v), "Lacks Nation_1"))
+
+
+def q_search_many(v: Views):
+    words = v.table("part").select(F.explode(F.split("p_name", " ")).alias("query"))
+    return search_index.search_many(v.spark, index(v), words)
+
+
 CHECKS = {
+    "read_json_list": (q_json_list, IO["read_evaluation_lists"][1]),
+    "search_index": (q_search_index, f"{E}, {FLAT} SELECT {BRIEF_SQL} FROM flat WHERE contains({HAY}, 'lacks nation_1')"),
+    "search_many": (
+        q_search_many,
+        f"""{E}, {FLAT}, words AS (SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS query FROM part)
+SELECT query, job_id FROM words w JOIN (SELECT job_id, {HAY} AS hay FROM flat) f ON contains(hay, query)
+WHERE query <> ''""",
+    ),
     "statistics_log": (q_logged, SCORING["document_frequencies"][1]),
     "tfidf_cosine_logged": (q_tfidf_logged, SCORING["tfidf_cosine_frozen"][1]),
     "pool_window": (q_window, INGEST["filter_window"][1]),

@@ -2,14 +2,20 @@
 
 import datetime
 import glob
+import json
 import os
+import sys
 
+import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fitrank.operators import filters, tfidf
+from fitrank.operators import filters, model_batches, tfidf
+from fitrank.operators import report as R
 from fitrank.schemas import POSTING
-from fitrank.sources import pool, statistics
+from fitrank.sources import json_lists, pool, search_index, statistics
 from fitrank.sources.seen_table import SeenTable
 
 TEXTS = ["spark spark kafka", "kafka, java", None, "", "spark the java", "rust"]
@@ -166,3 +172,143 @@ def test_seen_table_is_not_shuffled(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+RECORDS = [
+    {"a": "plain", "b": {"c": [1, 2]}},
+    {"a": 'br}ace{ "quoted" \\ and ] , [', "b": {"c": []}},
+    {"a": "", "b": None},
+    {"a": "\\", "b": {"c": [3]}},
+    {"a": '\\"}', "b": {"c": None}},
+    {"a": "ünï}cödé\n\u2028 {{{", "b": {"c": [4, 5, 6]}},
+    {"a": "{}" * 60, "b": {"c": [7]}},
+]
+RECORD = "a string, b struct<c: array<int>>"
+
+
+def json_rows(spark, path):
+    found = json_lists.read_json_list(spark, str(path), T._parse_datatype_string(RECORD))
+    return sorted(json.dumps(r.asDict(True), sort_keys=True) for r in found.collect())
+
+
+@pytest.mark.parametrize("size", [3, 11, 29, 64, 1 << 20])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_lists_are_read_by_many_tasks(spark, tmp_path, size, indent):
+    for n, records in enumerate([RECORDS, RECORDS[::-1], [], RECORDS[4:5]]):
+        text = json.dumps(records, indent=indent, ensure_ascii=n == 1)
+        (tmp_path / f"{n}.json").write_text(text + "\n" * n, encoding="utf-8")
+    (tmp_path / "empty.json").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = json_rows(spark, tmp_path)
+        if size == 29:
+            assert json_lists.pieces_of(spark, str(tmp_path)).select("file", "block").distinct().count() > 20
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(json.dumps(r, sort_keys=True) for r in [*RECORDS, *RECORDS, RECORDS[4]])
+
+
+@pytest.mark.parametrize("text", ['[{"a":"x"},{"a":"y', '[{"a":"x"},{"b":{"c":[1]', '[{"a":"x"}', '[{"a":"x"},{"b":3}]', '{"a":"x"}'])
+def test_broken_lists_are_errors(spark, tmp_path, text):
+    (tmp_path / "one.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)JSON"):
+        json_rows(spark, tmp_path)
+
+
+REPORT = [
+    ("1", "Acme", "Spark and Kafka"), ("2", "acme", None), ("2", "Öl AG", "x"), (None, "Zed", "spark"),
+    ("4", "", ""), ("5", "Acme", "Spark and Kafka"), ("6", "a😀b", "p"), ("7", "ab" * 5000, "kafkaspark"),
+]
+
+
+def report(spark):
+    flat = spark.createDataFrame(REPORT, "job_id string, company string, summary string")
+    none = F.array().cast("array<string>")
+    return flat.withColumns(
+        {"job_link": F.lit("l"), "recommendation": F.lit(None).cast("string"), "strengths": none, "gaps": none}
+    )
+
+
+def test_searches_by_index_equal_the_scan(spark, tmp_path):
+    path, flat = str(tmp_path / "index"), report(spark)
+    search_index.write_index(flat, path)
+    asked = ["", "a", "AC", "acme", "spark", "kafkas", "ark a", "öl", "😀", "a😀b", "nowhere", "ababababa", "e l "]
+    names = ("job_id", "company", "summary")
+    want = {}
+    for query in asked:
+        found = search_index.search_index(spark, path, query)
+        assert found.columns == flat.columns
+        got = sorted(map(str, found.select(*names).collect()))
+        want[query] = R.search(flat, query).select(*names).collect()
+        assert got == sorted(map(str, want[query])), query
+    assert len(want["spark"]) == 4 and not want["nowhere"]
+    table = spark.createDataFrame([(q,) for q in [*asked, "spark", None]], "query string")
+    pairs = sorted(map(str, map(tuple, search_index.search_many(spark, path, table).collect())))
+    assert pairs == sorted(str((q.lower(), r.job_id)) for q, rows in want.items() if q for r in rows)
+
+
+def test_a_search_opens_the_folders_of_its_grams_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    search_index.write_index(report(spark), path)
+    files = search_index.posting_lists(spark, path, ["spa"])
+    text = files._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_place" in text and "EqualTo(gram,spa)" in text or "In(gram" in text
+    assert {r.gram for r in files.collect()} == {"spa"}
+    used = files.select(F.input_file_name().alias("f")).distinct().collect()
+    assert len({r.f.split("_place=")[1].split("/")[0] for r in used}) == 1
+
+
+def load_matrix(path):
+    """A small model: letter counts times a matrix.  It leaves a mark for each time it is loaded."""
+    import os
+    import uuid
+
+    import numpy as np
+
+    stored = np.load(path)
+    open(os.path.join(str(stored["marks"]), f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+
+    def predict(texts):
+        counts = np.array([[t.count(c) for c in "abcde"] for t in texts], dtype="float64")
+        return counts @ stored["matrix"]
+
+    return predict
+
+
+def test_models_are_loaded_once_for_a_worker(spark, tmp_path):
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    marks, file = tmp_path / "marks", tmp_path / "small model.npz"
+    marks.mkdir()
+    matrix = np.arange(15.0).reshape(5, 3)
+    np.savez(file, matrix=matrix, marks=str(marks))
+    texts = [None, "", *["abc" * n + "e" for n in range(200)]]
+    table = docs(spark, texts).repartition(12)
+    name = model_batches.add_model(spark, str(file))
+    got = {r.id: r.embedding for r in model_batches.embed_with_model(table, name, load_matrix, 7).collect()}
+    assert got[0] is None and got[1] is None and len(got) == len(texts)
+    for i, text in enumerate(texts[2:], 2):
+        assert got[i] == [float(x) for x in np.array([text.count(c) for c in "abcde"]) @ matrix]
+    loads = [mark.name.split("-")[0] for mark in marks.iterdir()]
+    assert len(loads) == len(set(loads))
+
+
+def test_many_salts_give_the_same_scores(spark, monkeypatch):
+    texts = [f"spark {'kafka ' * (n % 3)} word{n % 7} java" for n in range(400)]
+    profile = spark.createDataFrame([("spark java word3",)], "text string")
+
+    def scores():
+        found = tfidf.tfidf_scores(docs(spark, texts), profile)
+        return {r.id: round(r.score, 9) for r in found.collect()}
+
+    few = scores()
+    for parts in (63, 64, 130, 312):
+        with monkeypatch.context() as m:
+            m.setattr(tfidf, "_salt_count", lambda _, parts=parts: parts)
+            assert scores() == few
+    spark.conf.set("spark.sql.shuffle.partitions", "20000")
+    try:
+        assert tfidf._salt_count(docs(spark, texts)) == 312
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
