@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from checks.ingest_checks import P, SQL_TESTS, TITLES_OUT, sql_norm
 from checks.scoring_checks import KEYWORD_SQL, PP, six
@@ -10,6 +11,7 @@ from checks.views import Views
 from fitrank.config import FilterRules
 from fitrank.session import new_scratch
 from fitrank.streaming import postings as S
+from fitrank.streaming import recent_ids
 
 
 def stream_of(v: Views, repeats: int = 1, columns=("id", "title", "company", "date_posted"), **options):
@@ -50,6 +52,20 @@ def q_new_bounded(v: Views):
     return read(out, "new").union(read(late, "late"))
 
 
+def q_recent(v: Views):
+    """As above, with the ids in the state store: one stream that is started twice."""
+    columns = ("id", "title", "company", "date_posted")
+    rows = v.postings.select(*columns).withColumn("date_posted", F.col("date_posted").cast("timestamp"))
+    path, out, state = (new_scratch(v.spark, f"recent-{n}") for n in ("in", "out", "state"))
+    newest = F.col("date_posted") >= rows.agg(F.max("date_posted")).scalar() - F.expr("INTERVAL 100 HOURS")
+    for part in (rows.where(newest), rows.union(rows)):
+        part.write.mode("append").parquet(path)
+        stream = S.read_posting_stream(v.spark, path, schema=rows.schema)
+        recent_ids.recent_stream(stream, out, state, 100).awaitTermination()
+    full = StructType([*rows.schema.fields, StructField("output", StringType())])
+    return v.spark.read.schema(full).parquet(out).select("id", "title", "company", "output")
+
+
 def q_filter_score(v: Views):
     stream = stream_of(v, 2, ("id", "title", "company", "date_posted", "is_remote", "description"))
     out, ids = new_scratch(v.spark, "scored"), new_scratch(v.spark, "scored-ids")
@@ -67,14 +83,14 @@ def q_counts(v: Views):
     return sums.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+BOUNDED_SQL = f"""{P}, edge AS (SELECT max(date_posted) - INTERVAL 100 HOUR AS t FROM postings)
+SELECT id, title, company, 'new' AS output FROM postings, edge WHERE date_posted >= t
+UNION ALL SELECT id, title, company, 'late' FROM postings, edge, range(2) WHERE date_posted < t"""
+
 CHECKS = {
     "stream_new_postings": (q_new, f"{P} SELECT id, title, company FROM postings"),
-    "stream_new_postings_bounded": (
-        q_new_bounded,
-        f"""{P}, edge AS (SELECT max(date_posted) - INTERVAL 100 HOUR AS t FROM postings)
-SELECT id, title, company, 'new' AS output FROM postings, edge WHERE date_posted >= t
-UNION ALL SELECT id, title, company, 'late' FROM postings, edge, range(2) WHERE date_posted < t""",
-    ),
+    "stream_new_postings_bounded": (q_new_bounded, BOUNDED_SQL),
+    "stream_recent_postings": (q_recent, BOUNDED_SQL),
     "stream_filter_score": (
         q_filter_score,
         f"""{PP}, {KEYWORD_SQL} SELECT id, title, company, round(score, 6) AS keyword_match_score FROM (

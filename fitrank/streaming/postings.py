@@ -57,9 +57,11 @@ def write_stream(
     mode: str = "append",
     form: str = "parquet",
     trigger: dict | None = None,
+    partition_by: tuple[str, ...] = (),
 ) -> StreamingQuery:
     """Append-only file sink with a checkpoint in a folder all executors can reach."""
     writer = out.writeStream.outputMode(mode).format(form).option("checkpointLocation", checkpoint)
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
     return writer.trigger(**(trigger or RUN_ONCE)).start(path)
 
 
