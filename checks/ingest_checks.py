@@ -455,7 +455,7 @@ WHERE (coalesce(search_term, '') = '' OR contains(lower(title), lower(search_ter
   AND (s.job_type = '' OR s.job_type = p.job_type)""",
     ),
     "topn_per_search": (
-        lambda v: ranking.topn_per_search(hits(v), largest=50).select(
+        lambda v: ranking.topn_per_search(hits(v).drop("description"), largest=50).select(
             "id", "title", "company", "location", "search_no"
         ),
         f"{P}, {search_sql()} SELECT {SEARCH_TEXT} FROM capped",

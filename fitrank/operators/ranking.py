@@ -13,33 +13,58 @@ from fitrank.functions.text import contains_any, norm_key
 from fitrank.operators.filters import posted_since, remote_matches
 
 
+# Long texts: they take part in the order of equal rows by a hash, and move only if they are selected.
+WIDE = ("description",)
+
+
+def unused(base: str, columns: Sequence[str]) -> str:
+    """A column name that is not among the given ones, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
+def first_rows(
+    df: DataFrame, keys: Sequence[Column], order_by: Sequence[str], wide: Sequence[str] = WIDE
+) -> DataFrame:
+    """The first row per key, in ``order_by`` and then in the other columns, texts by their hash last.
+
+    Each task sends at most one row per key into the shuffle, so a key that holds most rows costs no more
+    than any other.  The texts are aggregates of their own beside the narrow row: a plan that does not
+    select them neither sorts nor shuffles them.  Rows that are equal in all columns are one.
+    """
+    texts = [c for c in df.columns if c in wide and c not in order_by]
+    rest = [c for c in df.columns if c not in texts and c not in order_by]
+    last = unused("_text_hash", df.columns)
+    hashes = [F.xxhash64(*[F.struct(F.col(c)) for c in texts]).alias(last)] if texts else []
+    row = F.struct(*order_by, *rest, *hashes)
+    named = [k.alias(unused(f"_key_{i}", df.columns)) for i, k in enumerate(keys)]
+    first = df.groupBy(*named).agg(
+        F.min(row).alias("_first"), *[F.min_by(c, row).alias(f"_wide_{i}") for i, c in enumerate(texts)]
+    )
+    found = {c: F.col(f"_wide_{i}").alias(c) for i, c in enumerate(texts)}
+    return first.select(*[found.get(c, F.col("_first")[c].alias(c)) for c in df.columns])
+
+
 def unique_ids(postings: DataFrame, order_by: Sequence[str] = ()) -> DataFrame:
     """One row per id, for pools that hold copies; rows without an id are all kept.
 
     Of the rows of an id the first in ``order_by`` stays; rows that are equal there are ordered by
-    their other columns, so the choice does not depend on the run.  Each task sends at most one row
-    per id.
+    their other columns, so the choice does not depend on the run.
     """
-    rest = [c for c in postings.columns if c not in order_by]
     named = postings.where(F.col("id").isNotNull())
-    first = named.groupBy(F.col("id").alias("_id")).agg(
-        F.min(F.struct(*order_by, *rest)).alias("_first")
-    )
     unnamed = postings.where(F.col("id").isNull())
-    return first.select("_first.*").select(postings.columns).union(unnamed)
+    return first_rows(named, [F.col("id")], order_by).union(unnamed)
 
 
 def first_per_key(postings: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """First row per normalised (title, company), whole.
 
     Rows that are equal in ``order_by``, as with repeated or missing ids, are ordered by their other
-    columns.  The first row is an aggregate, so each task sends at most one row per key into the
-    shuffle and a key that holds most rows costs no more than any other; no row is joined back.
+    columns; no row is joined back.
     """
-    rest = [c for c in postings.columns if c not in order_by]
-    keys = [norm_key(F.col("title")).alias("_title"), norm_key(F.col("company")).alias("_company")]
-    first = postings.groupBy(*keys).agg(F.min(F.struct(*order_by, *rest)).alias("_first"))
-    return first.select("_first.*")
+    return first_rows(postings, [norm_key(F.col("title")), norm_key(F.col("company"))], order_by)
 
 
 def dedup_reposts(postings: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -64,11 +89,13 @@ def topn_per_search(
     Three stages rank within (search, input partition), (search, ``fan_in`` partitions) and the
     search.  A search that matches a third of all rows is spread over the input partitions, and no
     task merges the best rows of more than ``fan_in`` groups, up to ``fan_in`` squared partitions,
-    whatever ``n`` and the number of shuffle partitions are.
+    whatever ``n`` and the number of shuffle partitions are.  Rows of equal date and id, as with missing
+    or repeated ids, are ordered by a hash of the row, so the cut does not depend on the run; leave texts that are not
+    needed out, as the hash reads them.
     """
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
     constant = n if isinstance(n, int) else largest
-    order = [F.col("date_posted").desc_nulls_last(), F.col("id")]
+    order = [F.col("date_posted").desc_nulls_last(), F.col("id"), F.xxhash64(*hits.columns)]
 
     def best(df: DataFrame, *keys: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from checks import scoring_checks
 from checks.views import Views
-from fitrank.config import FilterRules
-from fitrank.operators import filters, ranking, scoring, tfidf
+from fitrank.config import FilterRules, Lookback
+from fitrank.operators import filters, lookback, ranking, scoring, tfidf
 from fitrank.plans import ingest
 from fitrank.plans.scoring import score_postings
 
@@ -73,6 +73,19 @@ def test_dedup_sends_one_row_per_key_and_task(stored):
     assert "partial_min" in text
 
 
+def test_first_rows_move_no_text_unless_it_is_selected(stored):
+    firsts = (
+        ranking.unique_ids(stored.postings, ("date_posted",)),
+        ranking.dedup_reposts(stored.postings, ("id",)),
+        lookback.adaptive_lookback(stored.postings, F.lit("2024-01-31"), Lookback(24, 24, 168, 10)),
+    )
+    for df in firsts:
+        narrow = shuffled_columns(df.select("id", "title"))
+        # The aggregate of a text has a value and the row it belongs to.
+        assert narrow and not any("description" in c or "Extremum" in c for c in narrow)
+        assert any("Extremum" in c for c in shuffled_columns(df))
+
+
 def test_topn_cuts_before_each_shuffle(stored):
     hits = stored.postings.withColumn("search_no", F.crc32("title"))
     text = plan(ranking.topn_per_search(hits, 5))

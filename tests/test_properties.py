@@ -97,6 +97,25 @@ def test_topn_equals_brute_force(spark, n):
             assert sorted(r.id for r in got) == want
 
 
+def test_equal_rows_but_for_their_texts_have_an_order(spark):
+    """Rows that tie in everything but the text are cut and chosen alike however they are dealt."""
+    rows = [(None, "t", "c", "same", f"text {k}", 0) for k in range(40)] + [("1", "t", "c", "same", None, 0)] * 3
+    df = spark.createDataFrame(rows, "id string, title string, company string, date_posted string, description string, search_no int")
+    got = set()
+    for parts in (1, 3, 7):
+        dealt = df.repartition(parts)
+        top = ranking.topn_per_search(dealt, 5).collect()
+        first = ranking.dedup_reposts(dealt, ("date_posted",)).collect()
+        assert len(top) == 5 and len(first) == 1 and first[0].description.startswith("text ")
+        got.add((tuple(sorted(r.description or "" for r in top)), first[0].description))
+        assert ranking.unique_ids(dealt).count() == 41
+    assert len(got) == 1
+    clash = df.withColumn("_text_hash", F.lit(1)).withColumn("_key_0", F.lit(2)).withColumn("_first", F.lit(3))
+    clash = clash.withColumn("_wide_0", F.lit(4))
+    kept = ranking.dedup_reposts(clash, ("date_posted",))
+    assert kept.columns == clash.columns and kept.first()[-4:] == (1, 2, 3, 4)
+
+
 def tfidf_by_hand(texts, wanted):
     def terms(text):
         return [t for t in re.findall(r"\b\w\w+\b", (text or "").lower()) if t not in stop]
