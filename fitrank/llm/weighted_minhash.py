@@ -286,19 +286,33 @@ def sizes_across(rooted: DataFrame) -> DataFrame:
 def crossing(rooted: DataFrame) -> DataFrame:
     """Pairs ``a`` < ``b`` of different components in a bucket.
 
+    The components of a bucket are paired first and their members joined to those pairs, so no
+    component is compared with itself and the work grows with the pairs that are made.
+
     Of buckets by prefix only those whose weights from there on, which are all that the texts can
-    share if this is the first shingle they share, are enough for the threshold.
+    share if this is the first shingle they share, are enough for the threshold; components none
+    of whose members can have enough are not paired.
     """
-    left, right = (
-        rooted.select([F.col(c).alias(c if c == "bucket" else f"{c}_{side}") for c in rooted.columns])
-        for side in "ab"
-    )
-    across = "key_a < key_b and root_a != root_b"
-    if "rest" in rooted.columns:
-        enough = (THRESHOLD - 1e-6) / (1 + THRESHOLD)
-        across += f" and least(rest_a, rest_b) >= {enough} * (total_a + total_b)"
-    pairs = left.join(right, "bucket").filter(across)
-    return pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    by_prefix = "rest" in rooted.columns
+    enough = (THRESHOLD - 1e-6) / (1 + THRESHOLD)
+    groups = rooted.select("bucket", "root").distinct()
+    if by_prefix:
+        most = (F.max("rest").alias("rest"), F.min("total").alias("total"))
+        groups = rooted.groupBy("bucket", "root").agg(*most)
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select([F.col(c).alias(c if c == "bucket" else f"{c}_{name}") for c in df.columns])
+
+    def sufficient(df: DataFrame) -> DataFrame:
+        if not by_prefix:
+            return df
+        return df.filter(f"least(rest_a, rest_b) >= {enough} * (total_a + total_b)")
+
+    roots = side(groups, "a").join(side(groups, "b"), "bucket").filter("root_a < root_b")
+    across = sufficient(roots).select("bucket", "root_a", "root_b")
+    left = across.join(side(rooted, "a"), ["bucket", "root_a"])
+    pairs = sufficient(left.join(side(rooted, "b"), ["bucket", "root_b"]))
+    return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def linked(pairs: DataFrame, texts: DataFrame, common: Common) -> DataFrame:

@@ -124,6 +124,47 @@ def test_mixed_buckets_lose_no_link(spark, monkeypatch, partners):
 LONG = " ".join(f"w{i}" for i in range(80))
 
 
+def few_across(spark, size, schema="bucket bigint, key long, root long"):
+    """Buckets with one large component and a few outsiders, and buckets of small components."""
+    large = [(0, k, 0) for k in range(size)] + [(0, size + 1, size + 1), (0, size + 2, size + 1)]
+    small = [(b, 10 * b + k, 10 * b + k // 2) for b in range(1, 20) for k in range(b % 7)]
+    return large + small, spark.createDataFrame(large + small, schema)
+
+
+def test_pairs_across_components(spark):
+    data, rooted = few_across(spark, 300)
+    got = sorted(map(tuple, weighted_minhash.crossing(rooted).collect()))
+    want = {(a, b) for x, a, r in data for y, b, s in data if x == y and r != s and a < b}
+    assert got == sorted(want)
+
+
+def test_prefix_pairs_across_components(spark):
+    """Which pairs are enough is decided by members, not by their components."""
+    numbers = random.Random(3)
+    data = []
+    for bucket, key, root in few_across(spark, 60)[0]:
+        total = numbers.choice([1.0, 1.05, 1.1, 2.0])
+        data.append((bucket, key, root, total * numbers.uniform(0.8, 1), total))
+    schema = "bucket bigint, key long, root long, rest double, total double"
+    got = sorted(map(tuple, weighted_minhash.crossing(spark.createDataFrame(data, schema)).collect()))
+    enough = (weighted_minhash.THRESHOLD - 1e-6) / (1 + weighted_minhash.THRESHOLD)
+    want = {
+        (min(a, b), max(a, b))
+        for x, a, r, ra, ta in data
+        for y, b, s, rb, tb in data
+        if x == y and r < s and min(ra, rb) >= enough * (ta + tb)
+    }
+    assert want and got == sorted(want)
+
+
+def test_a_large_component_is_not_paired_with_itself(spark):
+    """200,000 members and two outsiders make 400,000 pairs; within the component it would be 20 billion."""
+    size = 200_000
+    large = spark.range(size).selectExpr("0L bucket", "id key", "0L root")
+    others = spark.range(size + 1, size + 3).selectExpr("0L bucket", "id key", "id root")
+    assert weighted_minhash.crossing(large.unionAll(others)).count() == 2 * size + 1
+
+
 def test_classes_of_odd_rows(spark):
     texts = [None, None, "", "", "one two", "One, two!", LONG, LONG, LONG + " more", "x " * 50_000, "...", LONG]
     ids = [0, 1, 2, 3, 4, 5, 6, 6, 8, 9, 10, None]
