@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from fitrank.llm.batches import as_batch, columns_apart, hash_place, hash_share, narrow, text_slices
+from fitrank.llm.scratch import settle
 
 DIMENSIONS = 1024
-TRAIN_ROWS = 5000  # expected number of labelled rows to learn from, for each language
 UNKNOWN = "und"
 # Rejection.  N-grams count as the squared sum over the sum of squares of their counts, so a text
 # that repeats one word a thousand times counts as that word.
@@ -150,11 +150,24 @@ def held_in_sample(labelled: DataFrame, rows: int) -> DataFrame:
     return labelled.filter(hash_place("language") < share)
 
 
+def in_groups(counted, groups: np.ndarray, n_groups: int):
+    """``gram_counts`` of texts as those of the groups that they belong to."""
+    owner, grams, columns, counts, points = counted
+    keys, first, place = np.unique(grams * n_groups + groups[owner], return_index=True, return_inverse=True)
+    return keys % n_groups, grams[first], columns[:, first], np.bincount(place, counts, len(keys)), points
+
+
 def learn(
-    docs: DataFrame, use: Column, rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS
+    docs: DataFrame, use: Column, rows: int | None = None, dimensions: int = DIMENSIONS
 ) -> Profiles:
-    """Prototypes from the text and lang of the rows where ``use`` holds and lang isn't null."""
+    """Prototypes from the text and lang of all rows where ``use`` holds and lang isn't null.
+
+    A prototype is a sum over n-grams, so they are counted by language, and bundled once for each
+    language in a slice.  A caller may ask for a sample of about ``rows`` rows of each language.
+    """
     labelled = docs.filter(use & docs["lang"].isNotNull()).select("doc_id", "text", "lang")
+    if rows is not None:
+        labelled = held_in_sample(labelled, rows)
     table = letter_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +178,13 @@ def learn(
             languages, index = np.unique(
                 np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True
             )
-            counted = gram_counts(texts, is_letter)
+            counted = in_groups(gram_counts(texts, is_letter), index, len(languages))
             owner, _, columns, counts, points = counted
-            vectors = bundled(len(texts), counted, dimensions).astype(np.float64)
+            vectors = bundled(len(languages), counted, dimensions).astype(np.float64)
             for i, lang in enumerate(languages.tolist()):
-                sums[lang] = sums.get(lang, 0) + vectors[index == i].sum(axis=0)
+                sums[lang] = sums.get(lang, 0) + vectors[i]
                 # Every letter is in the middle of one n-gram.
-                here = (index == i)[owner] & (columns[1] > 0)
+                here = (owner == i) & (columns[1] > 0)
                 times = np.bincount(columns[1][here], counts[here], len(points))
                 letters.setdefault(lang, Counter()).update(
                     {int(points[j]): float(times[j]) for j in times.nonzero()[0]}
@@ -188,8 +201,7 @@ def learn(
             )
 
     summed = (
-        held_in_sample(labelled, rows)
-        .select("lang", "text")
+        labelled.select("lang", "text")
         .mapInArrow(run, "lang string, place int, value double")
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
@@ -214,25 +226,21 @@ def identify(
     )
 
 
-def least_scores(labelled: DataFrame, profiles: Profiles, rows: int = TRAIN_ROWS) -> list[float]:
+def least_scores(score: Column, grams: Column, labelled: DataFrame, dimensions: int) -> list[float]:
     """The cosine that a text with 2^i to 2^(i+1) n-grams must reach, for each i.
 
-    Half of a low quantile of the cosines of labelled texts of that size, or what the next smaller
+    Half of a low quantile of the cosines of all labelled texts of that size, or what the next smaller
     size has where too few have it; above the noise of the vectors in any case.
     """
-    judged = held_in_sample(labelled, rows).select("text").mapInArrow(
-        predictor(profiles, [], ("lang", "score", "grams", "own")),
-        "lang string, score double, grams double, own double",
-    )
-    size = F.floor(F.log2("grams")).cast("int")
+    size = F.floor(F.log2(grams)).cast("int")
     found = (
-        judged.filter("grams > 0")
+        labelled.filter(grams > 0)
         .groupBy(size.alias("size"))
-        .agg(F.count("*").alias("n"), F.percentile_approx("score", LOW_SCORE, 10_000).alias("low"))
+        .agg(F.count("*").alias("n"), F.percentile_approx(score, LOW_SCORE, 10_000).alias("low"))
         .collect()  # one row for each power of two
     )
     low = {r["size"]: r["low"] * LOW_PART for r in found if r["n"] >= LEAST_LABELLED}
-    least = [NOISE / profiles.prototypes.shape[1] ** 0.5]
+    least = [NOISE / dimensions**0.5]
     for size in range(64):
         least.append(max(least[0], low.get(size, least[-1])))
     return least[1:]
@@ -244,18 +252,19 @@ def accepted(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     Rejected are texts without a letter, those less like every language than ``least_scores`` of the
     labelled rows, and texts below ``SHORT`` n-grams in letters of other alphabets.  With no language
-    learned, only the first.
+    learned, only the first.  The documents are judged once and written to the shared folder, as the
+    quantiles are taken of all labelled rows before any document is kept.
     """
     if not profiles.languages:
         return docs.filter(docs["text"].rlike(r"\p{L}"))
-    labelled = docs.filter(docs["lang"].isNotNull()).select("doc_id", "text", "lang")
-    least = F.array(*map(F.lit, least_scores(labelled, profiles)))
     names = ("lang_pred__", "score__", "grams__", "own__")
     schema = StructType([*docs.schema.fields]).add(names[0], StringType())
     for name in names[1:]:
         schema = schema.add(name, DoubleType())
-    judged = docs.mapInArrow(predictor(profiles, docs.columns, names), schema)
+    judged = settle(docs.mapInArrow(predictor(profiles, docs.columns, names), schema), "judged")
     lang, score, grams, own = (judged[name] for name in names)
+    labelled = judged.filter(judged["lang"].isNotNull())
+    least = F.array(*map(F.lit, least_scores(score, grams, labelled, profiles.prototypes.shape[1])))
     like = F.when(grams < SHORT, own >= OWN_SHARE).otherwise(
         score >= F.get(least, F.floor(F.log2(grams)).cast("int"))
     )

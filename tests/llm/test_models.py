@@ -141,3 +141,25 @@ def test_one_label_or_none(spark, condition, want):
     model = compression_quality.learn(docs, given(spark, "labels").filter(condition), F.lit(True))
     assert all(abs(r[2] - want) < 1e-9 for r in rows(compression_quality.score(docs, model)))
     assert DATA
+
+
+def test_all_labelled_rows_teach_and_set_the_least_scores(spark):
+    texts = F.when(F.col("id") % 2 == 0, "abra kadabra").otherwise("the other words of it")
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), texts.alias("text"), F.lit("xx").alias("lang"))
+    profiles = hypervector_language.learn(docs, F.lit(True))
+    table = np.unpackbits(np.frombuffer(hypervector_language.letter_table(), np.uint8)).astype(bool)
+    two = hypervector_language.bundles(["abra kadabra", "the other words of it"], table, 1024)
+    assert (profiles.prototypes[0] == 6_000 * two.sum(axis=0)).all()
+
+    # The quantile of a size is that of all its labelled texts: 12,000 here, not a sample of them.
+    asked = []
+    taken = hypervector_language.least_scores
+
+    def noted(score, grams, labelled, dimensions):
+        asked.append(labelled.count())
+        return taken(score, grams, labelled, dimensions)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(hypervector_language, "least_scores", noted)
+        assert hypervector_language.accepted(docs, profiles).count() == 12_000
+    assert asked == [12_000]
