@@ -14,14 +14,23 @@ from fitrank.streaming import postings as S
 from fitrank.streaming import recent_ids
 
 
-def stream_of(v: Views, repeats: int = 1, columns=("id", "title", "company", "date_posted"), **options):
-    """The postings as a folder of files, each posting ``repeats`` times."""
+FILES = 4
+FILE_ROWS = 20_000
+
+
+def stream_of(v: Views, repeats: int = 1, columns=("id", "title", "company", "date_posted"), batches: int = 1):
+    """The postings as a folder of files, each posting ``repeats`` times, read in so many batches.
+
+    There are ``FILES`` files, or more of them for a larger table, none of much more than ``FILE_ROWS`` rows.
+    """
     rows = v.postings.select(*columns)
     rows = rows.withColumn("date_posted", F.col("date_posted").cast("timestamp"))
     for _ in range(repeats - 1):
         rows = rows.union(rows)
     path = new_scratch(v.spark, "stream-in")
-    rows.repartition(4).write.parquet(path)
+    files = max(FILES, -(-rows.count() // FILE_ROWS))
+    rows.repartition(files).write.parquet(path)
+    options = {"maxFilesPerTrigger": -(-files // batches)} if batches > 1 else {}
     return S.read_posting_stream(v.spark, path, schema=rows.schema, **options)
 
 
@@ -32,7 +41,7 @@ def run(v: Views, out):
 
 
 def q_new(v: Views):
-    return run(v, S.new_by_id(stream_of(v, 2, maxFilesPerTrigger=2))).select("id", "title", "company")
+    return run(v, S.new_by_id(stream_of(v, 2, batches=2))).select("id", "title", "company")
 
 
 def q_new_bounded(v: Views):
@@ -78,7 +87,7 @@ def q_filter_score(v: Views):
 
 def q_counts(v: Views):
     out, state = new_scratch(v.spark, "counts"), new_scratch(v.spark, "counts-state")
-    S.ingest_counts(stream_of(v, maxFilesPerTrigger=2), out, state).awaitTermination()
+    S.ingest_counts(stream_of(v, batches=2), out, state).awaitTermination()
     sums = S.read_counts(v.spark, out)
     return sums.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 

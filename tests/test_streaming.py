@@ -145,3 +145,20 @@ def test_counts_per_window(spark, tmp_path):
     assert got == [(24, 1), (28, 2), (29, 1), (30, 1)]
     S.count_batches(out, 24, S.stream_key(state))(spark.read.parquet(src).limit(0), 0)
     assert S.read_counts(spark, out).agg(F.sum("n")).first()[0] == 2
+
+
+def test_the_files_of_a_check_stream_grow_with_its_table(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import stream_checks
+
+    rows = [(str(i), "a", "acme", NOW) for i in range(95)]
+    table = spark.createDataFrame(rows, "id string, title string, company string, date_posted timestamp")
+    paths = []
+    scratch = stream_checks.new_scratch
+    monkeypatch.setattr(stream_checks, "new_scratch", lambda s, label: paths.append(scratch(s, label)) or paths[-1])
+    monkeypatch.setattr(stream_checks, "FILE_ROWS", 20)
+    stream_checks.stream_of(SimpleNamespace(postings=table, spark=spark), 2)
+    written = spark.read.parquet(paths[0])
+    assert written.count() == 190
+    assert len(written.inputFiles()) == 10
