@@ -75,3 +75,17 @@ def test_thresholds_leave_most_pairs_unmet(spark, monkeypatch):
     monkeypatch.setattr(profiles_join, "new_scratch", lambda spark, label: written.setdefault(label, scratch(spark, label)))
     assert top(spark, postings, profiles, 5) == brute(postings, profiles, 5)
     assert spark.read.parquet(written["pairs"]).count() == 100  # of 5,000 pairs that share a word
+
+
+def test_vectors_hold_the_terms_of_profiles_only_and_pairs_meet_few_of_them(spark, monkeypatch):
+    # A posting has 40 words that no profile has; the texts are split into words once.
+    postings = [(str(i), f"common rare{i % 5} " + " ".join(f"own{i}x{j}" for j in range(40))) for i in range(60)]
+    profiles = [(i, f"common rare{i} unknown") for i in range(5)]
+    written, split = {}, []
+    scratch, frequencies = profiles_join.new_scratch, profiles_join.term_frequencies
+    monkeypatch.setattr(profiles_join, "new_scratch", lambda spark, label: written.setdefault(label, scratch(spark, label)))
+    monkeypatch.setattr(profiles_join, "term_frequencies", lambda *a: split.append(a[1]) or frequencies(*a))
+    assert top(spark, postings, profiles, 5) == brute(postings, profiles, 5)
+    assert spark.read.parquet(written["vectors"]).count() == 120  # of 2,520 terms of postings
+    assert spark.read.parquet(written["frequencies"]).count() == 2406
+    assert split == ["description", "text"]
