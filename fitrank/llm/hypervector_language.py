@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from fitrank.llm.batches import as_batch, columns_apart, hash_place, hash_share, narrow, text_slices
-from fitrank.llm.scratch import settle
+from fitrank.llm.scratch import settle, small_batches
 
 DIMENSIONS = 1024
 UNKNOWN = "und"
@@ -43,7 +43,7 @@ LEAST_LABELLED = 30  # labelled texts for a quantile
 OWN_LETTER = 1e-4  # part of the letters of a language that a letter of its alphabet is
 OWN_SHARE = 0.5  # share of letters of known alphabets in a short text
 GRAM_BLOCK = 4096  # n-gram vectors held at a time
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 class Profiles(NamedTuple):
@@ -205,8 +205,9 @@ def learn(
         .mapInArrow(run, "lang string, place int, value double")
         .groupBy("lang", "place")
         .agg(F.sum("value").alias("value"))
-        .toPandas()  # one row for each language and dimension or letter
     )
+    with small_batches(docs.sparkSession):
+        summed = summed.toPandas()  # one row for each language and dimension or letter
     counts = summed[summed["place"] < 0]
     share = counts["value"] / counts.groupby("lang")["value"].transform("sum")
     own = np.unique(-1 - counts["place"][share >= OWN_LETTER].to_numpy(np.int64))

@@ -37,7 +37,7 @@ from pyspark.sql import Window
 
 from fitrank.llm.batches import as_batch, columns_apart, text_slices
 from fitrank.llm.components import components
-from fitrank.llm.scratch import settle
+from fitrank.llm.scratch import settle, small_batches
 from fitrank.llm.shingles import Shingler, counted, mixed, word_table
 
 THRESHOLD = 0.8
@@ -87,8 +87,9 @@ def common_shingles(texts: DataFrame, rows: int) -> Common:
         .groupBy("shingle")
         .agg(F.sum("rows").alias("rows"))
         .filter(F.col("rows") > rows * COMMON / 2)
-        .toPandas()  # at most 2 * (mean number of shingles) / COMMON rows
     )
+    with small_batches(texts.sparkSession):
+        reported = reported.toPandas()  # at most 2 * (mean number of shingles) / COMMON rows
     wanted = np.sort(reported["shingle"].to_numpy(np.int64).view(np.uint64))
     if len(wanted) == 0:
         return wanted, np.zeros(0)
@@ -108,8 +109,9 @@ def common_shingles(texts: DataFrame, rows: int) -> Common:
         .groupBy("shingle")
         .agg(F.sum("rows").alias("rows"))
         .filter(F.col("rows") > rows * COMMON)
-        .toPandas()
     )
+    with small_batches(texts.sparkSession):
+        exact = exact.toPandas()
     hashes = exact["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], idf(exact["rows"].to_numpy(np.float64)[order] / max(rows, 1))

@@ -4,11 +4,13 @@ import hashlib
 
 import corpus_pipeline as pipeline
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
 from fitrank.llm import bpe_codec, surrogates
 from fitrank.llm.queries import SURROGATE_KEY
+from fitrank.llm.scratch import settle
 
 from .helpers import DATA, documents, given, rows
 from .test_duplicates import brute_classes, plain_shingles
@@ -48,3 +50,17 @@ def test_stages_return_the_columns_of_documents(spark):
         docs = new
     assert sorted(r["doc_id"] for r in docs.collect()) == [3, 5]
     assert docs.filter(F.length("text") != F.col("n_chars")).isEmpty()
+
+
+def test_long_texts_reach_python_in_small_batches(spark):
+    sizes = "size bigint"
+    docs = spark.range(0, 600, 1, 1).select(F.repeat(F.lit("abcdefgh"), 5_000).alias("text"))  # 24 MB
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], ["size"])
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = [r.size for r in settle(docs.mapInArrow(run, sizes), "sizes").collect()]
+    assert 24_000_000 < sum(found) < 25_000_000 and max(found) < 6_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == kept
