@@ -3,13 +3,14 @@
 Texts are lower-cased (A-Z only) and split into pieces and words by bytes.  A candidate phrase is
 contiguous in a piece and occurs ``least`` times or more, so each two neighbouring words of it do too.
 
-1. Words and pairs of neighbours are counted by a 64-bit hash.  The places of those that reach
-   ``least`` are set in a table of ``PLACES`` bits, which goes to all tasks; its size is fixed.  Pieces
-   are cut into runs where a pair's bit is unset.  A place that is set by chance cuts less, but
+1. Words are counted by their text, pairs of neighbours by a 64-bit hash.  The places of the pairs that
+   reach ``least`` are set in a table of ``PLACES`` bits, which goes to all tasks; its size is fixed.
+   Pieces are cut into runs where a pair's bit is unset.  A place that is set by chance cuts less, but
    changes no count.
-2. Every word opens its longest gram: ``ORDER`` words, or those up to the end of its run.  A gram of
-   ORDER words is an edge between the nodes of its first and its last ORDER - 1 words; shorter grams
-   are the corrections for run ends.  Both are counted by their text, first in each task.
+2. Every word that another follows in its run opens its longest gram: ``ORDER`` words, or those up to
+   the end of the run.  A gram of ORDER words is an edge between the nodes of its first and its last
+   ORDER - 1 words; shorter grams are the corrections for run ends.  Spark counts both by their text:
+   there is one row for each place of a frequent pair, so never more rows than words.
 3. What flows through a node is the sum of its out-edges and of the run ends in it.  The same sum over
    all edges that begin with a shorter phrase, and run ends, is the count of that phrase.
 4. Frequent edges whose common node nothing else enters or leaves are compacted into paths, by doubling
@@ -17,8 +18,8 @@ contiguous in a piece and occurs ``least`` times or more, so each two neighbouri
    off the paths; only branching nodes and shorter phrases keep rows of their own.
 5. Candidates are cut in two at each word and scored by exact decimal arithmetic.
 
-Memory of a task: a slice of whole pieces of about ``SLICE`` bytes, or the longest piece, and the grams
-gathered so far, which are passed on beyond ``HELD``.
+Memory of a task: a slice of whole pieces of about ``SLICE`` bytes, or the longest piece, the words and
+pairs gathered so far, which are passed on beyond ``HELD`` or ``HELD_BYTES``, and a batch of grams.
 
 Defined results: null texts are empty and count no word; null languages are ``und``; repeated rows count
 each; other columns are not looked at; no phrases and no rows come from an empty table; a piece of any
@@ -45,8 +46,10 @@ LEAST = 100
 TOP = 2000
 PLACES = 26  # the table of frequent words and pairs has 2^26 bits
 SLICE = 1 << 19
-HELD = 1_000_000  # counted grams or hashes of a task
+HELD = 1_000_000  # counted words or hashes of a task
+HELD_BYTES = 1 << 26  # bytes of the counted words of a task
 SENT = 1 << 16  # rows of a batch
+SENT_BYTES = 1 << 22  # bytes of the grams of a batch, but for the last one
 PARTS = 64  # parts of a language that are ranked before it is ranked whole
 DELIMITERS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
@@ -57,18 +60,18 @@ SMALL[ord("\t")] = ord(" ")
 KIND = np.zeros(256, np.uint8)  # 0 in words, 1 between words, 2 between pieces
 KIND[list(BLANKS)] = 1
 KIND[list(DELIMITERS)] = 2
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd
+BASE = 0x9E3779B97F4A7C15  # odd
 
 
 class Powers:
     """Powers of an odd number and of its inverse modulo 2^64, as many as asked for."""
 
-    def __init__(self, base: int):
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
+    def __init__(self):
+        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def grow(self, size: int):
         if size > len(self.up):
-            steps = (np.full(size * 5 // 4, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
+            steps = (np.full(size * 5 // 4, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
             self.up, self.down = (np.cumprod(np.append(np.ones(1, np.uint64), step)) for step in steps)
 
     def hashes(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -80,32 +83,43 @@ class Powers:
 
 
 class Words:
-    """The words of a slice: text, place, hashes with the language, and whether another follows."""
+    """The words of a slice: text, hash with the language, and whether another follows in the piece."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], powers: list[Powers]):
+    def __init__(self, texts: list[bytes], langs: list[str], powers: Powers):
         points = SMALL[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
         kinds = KIND[points]
         edges = np.flatnonzero(np.diff(kinds == 0, prepend=False, append=False))
-        self.starts, self.ends = edges[::2], edges[1::2]
-        self.text = points.tobytes()
+        starts, ends = edges[::2], edges[1::2]
         limits = np.cumsum([len(text) + 1 for text in texts])
-        self.owners = np.searchsorted(limits, self.starts, side="right")
+        owners = np.searchsorted(limits, starts, side="right")
         names = {lang: i for i, lang in enumerate(dict.fromkeys(langs))}
         self.names = list(names)
-        self.langs = np.array([names[lang] for lang in langs], np.int64)[self.owners]
+        self.langs = np.array([names[lang] for lang in langs], np.int32)[owners]
         salts = np.array([int.from_bytes(hash_of(lang), "big") for lang in names], np.uint64)
-        wide = points.astype(np.uint64)
-        self.hashes = [
-            mixed(power.hashes(wide, self.starts, self.ends) + salts[self.langs] * np.uint64(i + 1))
-            for i, power in enumerate(powers)
-        ]
-        pieces = np.searchsorted(np.flatnonzero(kinds == 2), self.starts)
-        self.followed = np.append(pieces[1:] == pieces[:-1], False)[: len(self.starts)]
+        self.hashes = mixed(powers.hashes(points.astype(np.uint64), starts, ends) + salts[self.langs])
+        pieces = np.searchsorted(np.flatnonzero(kinds == 2), starts)
+        self.followed = np.append(pieces[1:] == pieces[:-1], False)[: len(starts)]
+        # All words with one blank after each; word i begins at byte begins[i].
+        kept = kinds == 0
+        kept[ends] = True
+        points[ends] = ord(" ")
+        self.text, self.begins = points[kept], np.append(0, np.cumsum(ends - starts + 1))
 
     def pairs(self) -> np.ndarray:
         """A hash of each word and the next one."""
-        first = self.hashes[0]
-        return mixed(mixed(first) + np.append(first[1:], np.uint64(0)))
+        return mixed(mixed(self.hashes) + np.append(self.hashes[1:], np.uint64(0)))
+
+    def columns(self, first: np.ndarray, lengths: np.ndarray) -> dict[str, pa.Array]:
+        """The language and text of the grams of ``lengths`` words from the words ``first`` on."""
+        begins = self.begins[first]
+        offsets = np.append(0, np.cumsum(self.begins[first + lengths] - 1 - begins))
+        places = np.arange(offsets[-1]) + np.repeat(begins - offsets[:-1], np.diff(offsets))
+        texts = (pa.py_buffer(x) for x in (offsets.astype(np.int32), self.text[places]))
+        langs = pa.DictionaryArray.from_arrays(pa.array(self.langs[first]), pa.array(self.names, pa.string()))
+        return {
+            "lang": langs.cast(pa.string()),
+            "gram": pa.Array.from_buffers(pa.string(), len(first), [None, *texts]),
+        }
 
 
 def hash_of(name: str) -> bytes:
@@ -114,11 +128,11 @@ def hash_of(name: str) -> bytes:
     return hashlib.blake2b(name.encode(), digest_size=8).digest()
 
 
-def word_slices(batches: Iterator[pa.RecordBatch], limit: int, hashes: int) -> Iterator[Words]:
-    """Words of about ``limit`` bytes at once, with one or two hashes; longer texts are cut between pieces."""
+def word_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Words]:
+    """Words of about ``limit`` bytes at once; longer texts are cut between pieces."""
     import re
 
-    powers = [Powers(base) for base in BASES[:hashes]]
+    powers = Powers()
     between = re.compile(b"[" + re.escape(DELIMITERS) + b"]")
     texts, langs, size = [], [], 0
     for batch in batches:
@@ -145,37 +159,54 @@ def summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def hash_counts(batches: Iterator[pa.RecordBatch], limit: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the hashes of words and pairs, and the number of words of each language."""
-    kept, size, words = [], 0, Counter()
+def added(tables: list[pa.Table]) -> pa.Table:
+    sums = pa.concat_tables(tables).group_by(["lang", "gram"], use_threads=False).aggregate([("count", "sum")])
+    return sums.rename_columns(["lang", "gram", "count"])
+
+
+def fullness(tables: list[pa.Table], held: int) -> float:
+    return max(sum(map(len, tables)) / held, sum(table.nbytes for table in tables) / HELD_BYTES)
+
+
+def part_counts(batches: Iterator[pa.RecordBatch], limit: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Counts of words, of the hashes of pairs, and the number of words of each language."""
+    hashes, words, totals = [], [], Counter()
+
+    def rows(count: pa.Array, **known: pa.Array) -> pa.RecordBatch:
+        kinds = {"lang": pa.string(), "word": pa.string(), "hash": pa.int64()}
+        columns = {name: known[name] if name in known else pa.nulls(len(count), kind) for name, kind in kinds.items()}
+        return as_batch(columns | {"count": count})
 
-    def passed(hashes, counts):
-        for at in range(0, len(hashes), SENT):
-            some = hashes[at : at + SENT]
-            columns = {"lang": pa.nulls(len(some), pa.string()), "hash": pa.array(some.view(np.int64))}
-            yield as_batch(columns | {"count": pa.array(counts[at : at + SENT])})
+    def passed_hashes(some: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(some), SENT):
+            places = slice(at, at + SENT)
+            yield rows(pa.array(counts[places]), hash=pa.array(some[places].view(np.int64)))
 
-    for some in word_slices(batches, limit, 1):
+    def passed_words(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for some in table.combine_chunks().to_batches(SENT):
+            yield rows(some.column("count"), lang=some.column("lang"), word=some.column("gram"))
+
+    for some in word_slices(batches, limit):
         for lang, count in zip(some.names, np.bincount(some.langs, minlength=len(some.names)).tolist()):
-            words[lang] += count
-        both = np.concatenate([some.hashes[0], some.pairs()[some.followed]])
-        kept.append(summed(both, np.ones(len(both), np.int64)))
-        size += len(kept[-1][0])
-        if size > held:
-            hashes, counts = summed(*(np.concatenate(x) for x in zip(*kept)))
-            kept, size = [(hashes, counts)], len(hashes)
-            if size > held // 2:
-                yield from passed(hashes, counts)
-                kept, size = [], 0
-    if kept:
-        yield from passed(*summed(*(np.concatenate(x) for x in zip(*kept))))
-    yield as_batch(
-        {
-            "lang": pa.array(list(words), pa.string()),
-            "hash": pa.array([0] * len(words), pa.int64()),
-            "count": pa.array(list(words.values()), pa.int64()),
-        }
-    )
+            totals[lang] += count
+        pairs = some.pairs()[some.followed]
+        hashes.append(summed(pairs, np.ones(len(pairs), np.int64)))
+        if sum(len(part[0]) for part in hashes) > held:
+            hashes = [summed(*(np.concatenate(x) for x in zip(*hashes)))]
+            if len(hashes[0][0]) > held // 2:
+                yield from passed_hashes(*hashes.pop())
+        every = np.arange(len(some.langs))
+        columns = some.columns(every, np.ones_like(every))
+        words.append(added([pa.table(columns | {"count": pa.array(np.ones_like(every))})]))
+        if fullness(words, held) > 1:
+            words = [added(words)]
+            if fullness(words, held) > 0.5:
+                yield from passed_words(words.pop())
+    if hashes:
+        yield from passed_hashes(*summed(*(np.concatenate(x) for x in zip(*hashes))))
+    if words:
+        yield from passed_words(added(words))
+    yield rows(pa.array(list(totals.values()), pa.int64()), lang=pa.array(list(totals), pa.string()))
 
 
 def frequent_places(counts: DataFrame, least: int) -> np.ndarray:
@@ -183,7 +214,7 @@ def frequent_places(counts: DataFrame, least: int) -> np.ndarray:
     place = F.shiftrightunsigned("hash", 64 - PLACES)
     bit = (place % 32).cast("int")
     rows = (
-        counts.filter(F.col("lang").isNull() & (F.col("count") >= least))
+        counts.filter(F.col("count") >= least)
         .groupBy(F.shiftright(place, 5).cast("int").alias("cell"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
         .toPandas()  # at most 2^(PLACES - 5) rows, whatever the input
@@ -198,82 +229,19 @@ def is_frequent(hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (cells[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
 
-Grams = tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]  # two hashes, counts, texts
-
-
-def united(hashes: np.ndarray, checks: np.ndarray, counts: np.ndarray, rows):
-    """Equal grams as one; ``rows(places)`` gives the columns of some of them."""
-    order = np.lexsort((checks, hashes))
-    hashes, checks, counts = hashes[order], checks[order], counts[order]
-    new = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
-    first = np.flatnonzero(np.append(True, new)[: len(hashes)])
-    sums = np.add.reduceat(counts, first) if len(first) else counts
-    return hashes[first], checks[first], sums, rows(order[first])
-
-
-def longest_grams(words: Words, cells: np.ndarray) -> Grams:
-    """The different longest grams of a slice, by two hashes, with their count, language and text."""
-    size = len(words.starts)
-    breaks = np.flatnonzero(~(words.followed & is_frequent(words.pairs(), cells)))
-    to_end = breaks[np.searchsorted(breaks, np.arange(size))] - np.arange(size) + 1
-    lengths = np.minimum(to_end, ORDER)
-    at = np.flatnonzero((lengths > 1) | is_frequent(words.hashes[0], cells))
-    lengths = lengths[at]
-    first, second = (word[at] for word in words.hashes)
-    for i in range(1, ORDER):
-        has = lengths > i
-        for gram, word in zip((first, second), words.hashes, strict=True):
-            gram[has] = mixed(gram[has]) + word[at[has] + i]
-
-    def rows(places: np.ndarray) -> pa.Table:
-        own, count = at[places], lengths[places]
-        last = own + count - 1
-        before = np.append(0, np.cumsum(words.ends - words.starts))
-        plain = words.ends[last] - words.starts[own] == before[last + 1] - before[own] + count - 1
-        texts = [
-            words.text[start:end]
-            if single
-            else b" ".join(words.text[words.starts[i] : words.ends[i]] for i in range(a, b + 1))
-            for start, end, single, a, b in zip(
-                words.starts[own].tolist(), words.ends[last].tolist(), plain.tolist(), own.tolist(), last.tolist()
-            )
-        ]
-        langs = pa.DictionaryArray.from_arrays(pa.array(words.langs[own]), pa.array(words.names))
-        return pa.table(
-            {
-                "lang": langs.cast(pa.string()),
-                "gram": pa.array(texts, pa.binary()).cast(pa.string()),
-                "size": pa.array(count.astype(np.int32)),
-            }
-        )
-
-    return united(mixed(first), second, np.ones(len(at), np.int64), rows)
-
-
-def gram_counts(
-    batches: Iterator[pa.RecordBatch], cells: np.ndarray, limit: int, held: int
-) -> Iterator[pa.RecordBatch]:
-    kept: list[Grams] = []
-
-    def merged() -> Grams:
-        table = pa.concat_tables([part[3] for part in kept])
-        return united(
-            *(np.concatenate([part[i] for part in kept]) for i in range(3)),
-            lambda places: table.take(pa.array(places)).combine_chunks(),
-        )
-
-    def passed(grams: Grams) -> Iterator[pa.RecordBatch]:
-        yield from grams[3].append_column("count", pa.array(grams[2])).to_batches(SENT)
-
-    for words in word_slices(batches, limit, 2):
-        kept.append(longest_grams(words, cells))
-        if sum(len(part[0]) for part in kept) > held:
-            kept = [merged()]
-            if len(kept[0][0]) > held // 2:
-                yield from passed(kept[0])
-                kept = []
-    if kept:
-        yield from passed(merged())
+def longest_grams(batches: Iterator[pa.RecordBatch], cells: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    """The longest gram of two words or more at each word that opens one, in batches of bounded size."""
+    for words in word_slices(batches, limit):
+        size = len(words.langs)
+        breaks = np.flatnonzero(~(words.followed & is_frequent(words.pairs(), cells)))
+        to_end = breaks[np.searchsorted(breaks, np.arange(size))] - np.arange(size) + 1
+        first = np.flatnonzero(to_end > 1)
+        lengths = np.minimum(to_end[first], ORDER)
+        volumes = np.cumsum(words.begins[first + lengths] - words.begins[first])
+        batch = np.arange(len(first)) // SENT + volumes // SENT_BYTES
+        for places in np.split(np.arange(len(first)), np.flatnonzero(np.diff(batch)) + 1):
+            counts = lengths[places]
+            yield as_batch(words.columns(first[places], counts) | {"size": pa.array(counts.astype(np.int32))})
 
 
 def narrow_texts(docs: DataFrame, text_column: str, lang_column: str) -> DataFrame:
@@ -291,26 +259,29 @@ def edges(
     limit: int = SLICE,
     held: int = HELD,
 ) -> tuple[DataFrame, DataFrame]:
-    """The counted longest grams (``lang, gram, size, count``) and the words of each ``lang``, ``n``."""
+    """The counted words and longest grams (``lang, gram, size, count``) and the words of each ``lang``, ``n``."""
     texts = narrow_texts(docs, text_column, lang_column)
     counts = (
-        texts.mapInArrow(lambda x: hash_counts(x, limit, held), "lang string, hash bigint, count bigint")
-        .repartition("hash")  # counted in the tasks, so that another sum before the shuffle gains little
-        .groupBy("lang", "hash")
+        texts.mapInArrow(
+            lambda x: part_counts(x, limit, held), "lang string, word string, hash bigint, count bigint"
+        )
+        .repartition("word", "hash")  # counted in the tasks, so that another sum before the shuffle gains little
+        .groupBy("lang", "word", "hash")
         .agg(F.sum("count").alias("count"))
     )
-    counts = settle(counts.filter(F.col("lang").isNotNull() | (F.col("count") >= least)), "pairs")
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_places(counts, least))  # of fixed size
+    is_total = F.col("word").isNull() & F.col("hash").isNull()
+    counts = settle(counts.filter(is_total | (F.col("count") >= least)), "pairs")
+    pairs = counts.filter(F.col("hash").isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_places(pairs, least))  # of fixed size
     grams = (
-        texts.mapInArrow(
-            lambda x: gram_counts(x, shared.value, limit, held),
-            "lang string, gram string, size int, count bigint",
-        )
+        texts.mapInArrow(lambda x: longest_grams(x, shared.value, limit), "lang string, gram string, size int")
         .groupBy("lang", "gram", "size")
-        .agg(F.sum("count").alias("count"))
+        .agg(F.count("*").alias("count"))
     )
-    totals = counts.filter(F.col("lang").isNotNull()).select("lang", F.col("count").alias("n"))
-    return settle(grams, "grams"), totals
+    words = counts.filter(F.col("word").isNotNull())
+    words = words.select("lang", F.col("word").alias("gram"), F.lit(1).alias("size"), "count")
+    totals = counts.filter(is_total).select("lang", F.col("count").alias("n"))
+    return settle(words.unionByName(grams), "grams"), totals
 
 
 def first_words(phrase: str | Column, count) -> Column:
@@ -325,8 +296,9 @@ def without_first(phrase: str) -> Column:
 
 def flows(grams: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, size, count`` of all phrases of 1 to ORDER words counted ``least`` or more."""
+    sizes = F.sequence(F.least("size", F.lit(2)), F.least("size", F.lit(ORDER - 1)))  # words are counted whole
     shorter = (
-        grams.select("lang", "gram", "count", F.explode(F.sequence(F.lit(1), F.least("size", F.lit(ORDER - 1)))).alias("size"))
+        grams.select("lang", "gram", "count", F.explode(sizes).alias("size"))
         .groupBy("lang", first_words("gram", F.col("size")).alias("phrase"), "size")
         .agg(F.sum("count").alias("count"))
     )

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from fitrank.llm import phrase_graph
@@ -112,3 +114,54 @@ def test_scores_beyond_64_bits_are_exact(spark):
 
 def test_an_empty_table(spark):
     assert mined(spark, [], [], 2) == []
+
+
+def test_rows_of_the_gram_step_follow_the_input(spark, monkeypatch):
+    # Nearly all random pairs are rare in 40 texts and frequent in 200 of them.
+    def rows_made(count, parts):
+        rng = random.Random(5)
+        pairs = [["of the"] * 100 + [f"a{rng.randrange(30)} b{rng.randrange(30)}" for _ in range(50)] for _ in range(count)]
+        docs = documents(spark, [". ".join(x) for x in pairs]).repartition(parts)
+        made, plain = [], type(docs).mapInArrow
+
+        def noted(*args, **options):
+            made.append(plain(*args, **options))
+            return made[-1]
+
+        with monkeypatch.context() as patch:
+            patch.setattr(type(docs), "mapInArrow", noted)
+            grams, _ = phrase_graph.edges(docs, 8)
+        pairs_counted = {r.gram: r["count"] for r in grams.filter("size = 2").collect()}
+        assert pairs_counted["of the"] == 100 * count
+        return made[-1].count(), sum(pairs_counted.values())
+
+    small, large = rows_made(40, 1), rows_made(200, 5)
+    assert small[0] == small[1] and large[0] == large[1]  # one row for each place of a frequent pair
+    assert large[0] <= 200 * 300  # one for each word at most
+    assert large[0] <= 12 * small[0]
+
+
+def arrow_batch(texts):
+    return pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts})
+
+
+def test_batches_of_grams_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(phrase_graph, "SENT_BYTES", 10_000)
+    words = [c * 900 for c in "abcdefghij"] * 8
+    every_pair = np.full(1 << (phrase_graph.PLACES - 5), 0xFFFFFFFF, np.uint32)
+    batches = list(phrase_graph.longest_grams(iter([arrow_batch([" \t".join(words)])]), every_pair, 1 << 19))
+    found = [gram for batch in batches for gram in batch.column("gram").to_pylist()]
+    assert found == [" ".join(words[i : i + phrase_graph.ORDER]) for i in range(len(words) - 1)]
+    assert max(len("".join(batch.column("gram").to_pylist())) for batch in batches) <= 10_000 + 5 * 901
+
+
+def test_counted_words_are_passed_on_by_bytes(monkeypatch):
+    monkeypatch.setattr(phrase_graph, "HELD_BYTES", 10_000)
+    texts = [" ".join(f"{c}{i % 7}" * 200 for c in "abcde") for i in range(50)]
+    batches = list(phrase_graph.part_counts(iter([arrow_batch(texts)]), 1000, 1_000_000))
+    words = [(w, n) for b in batches for w, n in zip(b["word"].to_pylist(), b["count"].to_pylist()) if w]
+    assert len(words) > 35  # in several parts
+    counts = Counter()
+    for word, n in words:
+        counts[word] += n
+    assert counts == Counter(word for text in texts for word in text.split())
